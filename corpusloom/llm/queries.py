@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, langid, linededup, merkle, mixing, quality, secrets, sharding, simhash
+from corpusloom.llm import decontam, langid, linededup, merkle, mixing, quality, secrets, sharding, simhash, suffix
 from corpusloom.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "blob", "rules")
@@ -57,7 +62,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_secret_scan, op3_quality, op4_external_shuffle, op5_decontaminate, op6_merkle, op7_simhash, op8_language_id, op9_line_dedup, op10_mix)
+    for f in (op1_suffix_dedup, op2_secret_scan, op3_quality, op4_external_shuffle, op5_decontaminate, op6_merkle, op7_simhash, op8_language_id, op9_line_dedup, op10_mix)
 }
 
 ORACLE = {"op9_line_dedup": linededup.ORACLE, "op10_mix": mixing.ORACLE}
