@@ -1,0 +1 @@
+"""Nothing yet: the capabilities to match have no streams, state or windows."""
