@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, langid, linededup, merkle, mixing, quality, secrets, sharding, simhash, suffix
+from corpusloom.llm import decontam, langid, linededup, merkle, mixing, oracles, quality, secrets, sharding, simhash, suffix
 from corpusloom.llm.common import table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.suffix_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secrets(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "blob", "rules")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "blob")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op4_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +65,7 @@ QUERIES = {
     for f in (op1_suffix_dedup, op2_secret_scan, op3_quality, op4_external_shuffle, op5_decontaminate, op6_merkle, op7_simhash, op8_language_id, op9_line_dedup, op10_mix)
 }
 
-ORACLE = {"op9_line_dedup": linededup.ORACLE, "op10_mix": mixing.ORACLE}
+ORACLE = {
+    "op1_suffix_dedup": oracles.SUFFIX, "op2_secret_scan": oracles.secrets(), "op5_decontaminate": oracles.DECONTAMINATION,
+    "op9_line_dedup": linededup.ORACLE, "op10_mix": mixing.ORACLE,
+}
