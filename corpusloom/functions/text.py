@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from corpusloom.ship import ship
+
 WORD = r"[\p{L}\p{N}]+"
 #: Code points below this fold by ``translate``, inside generated code, where they fold to one character.
 FAST_LIMIT = 0x180
@@ -44,6 +46,7 @@ def tokens_of(text: Column) -> Column:
 
 def tokenize(docs: DataFrame) -> DataFrame:
     """doc_id, pos, token of every document; documents without a token have no row."""
+    ship(docs.sparkSession)
     return docs.select("doc_id", tokens_of(F.col("text")).alias("t")).select("doc_id", F.posexplode("t").alias("pos", "token"))
 
 

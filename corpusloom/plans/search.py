@@ -14,6 +14,7 @@ from corpusloom.plans import ast
 from corpusloom.plans.compile import Compiler, matched, pivot
 from corpusloom.plans.parser import parse
 from corpusloom.schemas import RESULTS
+from corpusloom.ship import ship
 
 MAX_RESULTS, PAGE = 500, 50
 
@@ -154,6 +155,7 @@ def query_words(text: str, lemmas: dict[str, str] | None = None) -> list[str]:
 
 def results_view(index: Index, docs: DataFrame, text: str, number: int = 0, lemmas: dict[str, str] | None = None, meta: DataFrame | None = None) -> DataFrame:
     """A result page: rank_pos, doc_id, [link, title,] snippet.  At most a page of texts is read through to the snippets."""
+    ship(docs.sparkSession)
     found = F.broadcast(page(search(index, text, lemmas, enough=(number + 1) * PAGE), number))  # a page of rows
     out = docs.select("doc_id", "text").join(found, "doc_id")
     if meta is not None:
