@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.ship import ship
+
 #: Upper bound on rows of one Arrow batch; texts can be long, so batches stay short.
 ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 _written: list[tuple[SparkSession, str]] = []
@@ -42,16 +44,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(_remove_written)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cl_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again.
+
+    The driver's garbage collection lets Spark delete the shuffle files of
+    finished steps, which else stay until memory runs short.
+    """
+    for t in tables:
+        spark, path = t.sparkSession, t._cl_path
+        _written.remove((spark, path))
+        _delete(spark, path)
+    if tables:
+        spark._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _remove_written() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session has already ended
             return
 
@@ -61,7 +82,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Short Arrow batches, so that long texts fit in a Python worker."""
+    """Python workers with the package, and short Arrow batches, so that long texts fit in one."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
