@@ -14,8 +14,9 @@ first meet by content:
 3. A gram with over ``GROUP`` distinct contexts (a frequent line in changing
    surroundings) is split: its windows are cut into blocks of neighbouring
    offsets, which meet by the bytes that all of a block's windows share, first
-   blocks of ``SPLITS[0]`` offsets and then single windows.  Equal windows stay
-   together at each step, so nothing is lost and no group grows unbounded.
+   blocks of ``SPLITS[0]`` offsets, then shorter ones, last single windows.
+   Equal windows stay together at each step, so nothing is lost, and no group
+   of single windows has two distinct contexts.
 4. Repeated starts go back to the texts that have the context.
 
 Copies of a text are worked on once; a text that more than one row has is
@@ -34,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import gsaca
-from corpusloom.llm.common import arrow_batches, materialize, utf8
+from corpusloom.llm.common import arrow_batches, discard, materialize, utf8
 
-WIDTH, GRAM, GROUP, SPLITS = 200, 32, 256, (16, 1)
+WIDTH, GRAM, GROUP, SPLITS = 200, 32, 1024, (16, 4, 1)
 SEED_2 = 20_029
 _M = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -119,31 +120,43 @@ def _context_rows(width: int):
     return run
 
 
+TOPS = ["top_h", "top_c1", "top_c2", "shift"]
+PARTS = "h bigint, c1 bigint, c2 bigint, context binary, copies bigint, at int, n int, top_h bigint, top_c1 bigint, top_c2 bigint, shift int"
+
+
 def _split_rows(block: int, width: int):
-    """Cut contexts into blocks of ``block`` neighbouring offsets, keyed by the bytes that a block's windows share."""
+    """Cut contexts into blocks of ``block`` neighbouring offsets, keyed by the bytes that a block's windows share.
+
+    A part keeps the whole context that it is of (``top_``) and its place there.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 3, pa.int32()]
+    names = [f.split()[0] for f in PARTS.split(", ")]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for h, _, _, context, copies, at, n, k1, k2, _ in zip(*(b.column(i).to_pylist() for i in range(10)), strict=True):
+            for h, _, _, context, copies, at, n, *top, shift in zip(*(b.column(i).to_pylist() for i in range(len(names))), strict=True):
                 for q in range((at - n + 1) // block, at // block + 1):
                     far, near = min(at, q * block + block - 1), max(at - n + 1, q * block)  # offsets before the anchor
                     i, j = at - far, at - near
                     core = context[at - q * block : at - q * block - block + 1 + width]
                     part = context[i : j + width]
                     key = xxhash.xxh64_intdigest(core, xxhash.xxh64_intdigest(q.to_bytes(4, "little", signed=True), h & _MASK))
-                    # k1, k2, first: the context that the block was cut from, and where
-                    rows.append(((key ^ (1 << 63)) - (1 << 63), *_ctx_hash(part), part, copies, far, j - i + 1, k1, k2, i))
+                    rows.append(((key ^ (1 << 63)) - (1 << 63), *_ctx_hash(part), part, copies, far, j - i + 1, *top, shift + i))
                 if len(rows) >= 20_000:
-                    yield _emit(rows)
+                    yield batch(rows)
                     rows = []
-            yield _emit(rows)
+            yield batch(rows)
 
     return run
 
 
-def _repeats(contexts: DataFrame, width: int, group: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """(h, c1, c2, runs) of the grams with at most ``group`` distinct contexts, and the other grams' distinct contexts."""
+def _repeats(contexts: DataFrame, width: int, group: int, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(h, c1, c2, runs) of the grams with at most ``group`` distinct contexts, all distinct contexts, and the other grams."""
     distinct = contexts.where("context IS NOT NULL").groupBy("h", "c1", "c2", "context", "at", "n").agg(F.sum("copies").alias("copies"))
     distinct = materialize(distinct, f"{name}-distinct")
     sizes = materialize(distinct.groupBy("h").agg(F.count("*").alias("m"), F.sum("copies").alias("all")).where("all > 1"), f"{name}-sizes")
@@ -152,8 +165,10 @@ def _repeats(contexts: DataFrame, width: int, group: int, name: str) -> tuple[Da
     kernel = gsaca.register(contexts.sparkSession)
     found = lists.selectExpr("h", "l.c1 AS c1", "l.c2 AS c2", f"{kernel}(l.context, l.copies, {width}) AS runs")
     found = found.select("h", F.explode(F.arrays_zip("c1", "c2", "runs")).alias("x")).select("h", "x.c1", "x.c2", "x.runs").where(F.size("runs") > 0)
-    many = distinct.join(sizes.where(F.col("m") > group).select("h"), "h", "left_semi")
-    return materialize(found, f"{name}-found"), many
+    many = materialize(sizes.where(F.col("m") > group).select("h"), f"{name}-many")
+    found = materialize(found, f"{name}-found")
+    discard(sizes)
+    return found, distinct, many
 
 
 def _runs(found: DataFrame) -> DataFrame:
@@ -164,29 +179,20 @@ def _runs(found: DataFrame) -> DataFrame:
 
 def repeated_starts(contexts: DataFrame, width: int, group: int) -> DataFrame:
     """h, c1, c2, a, b: runs [a, b) of the windows in each context that also start elsewhere."""
-    found, many = _repeats(contexts, width, group, "repeats")
-    out, parents = _runs(found), None
+    found, distinct, many = _repeats(contexts, width, group, "repeats")
+    out = _runs(found)
+    parts = distinct.select("*", F.col("h").alias("top_h"), F.col("c1").alias("top_c1"), F.col("c2").alias("top_c2"), F.lit(0).alias("shift"))
     for block in SPLITS:
-        many = materialize(many, f"split-{block}")
         if many.isEmpty():
             break
-        # k1 and k2 now name the distinct context by (h, c1, c2): its number in ``names``
-        source = many.select(F.monotonically_increasing_id().alias("id"), "h", "c1", "c2", "context", "copies", "at", "n")
-        source = materialize(source, f"split-{block}-source")
-        names = source.select("id", "h", "c1", "c2")
-        if parents is not None:  # from a block's distinct context to the contexts it was cut from
-            names = names.join(parents, ["h", "c1", "c2"]).select("id", "top_h", "top_c1", "top_c2", "shift")
-        else:
-            names = names.select("id", F.col("h").alias("top_h"), F.col("c1").alias("top_c1"), F.col("c2").alias("top_c2"), F.lit(0).alias("shift"))
-        names = materialize(names, f"split-{block}-names")
-        cut = source.select("h", "c1", "c2", "context", "copies", "at", "n", F.col("id").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(0).alias("first"))
-        cut = materialize(cut.mapInArrow(_split_rows(block, width), CONTEXTS), f"split-{block}-cut")
-        found, many = _repeats(cut, width, group, f"split-{block}")
-        places = cut.select("h", "c1", "c2", F.col("k1").alias("id"), "first").join(names, "id")
-        places = places.select("h", "c1", "c2", "top_h", "top_c1", "top_c2", (F.col("first") + F.col("shift")).alias("shift"))
-        hits = _runs(found).join(places, ["h", "c1", "c2"])
+        names = [f.split()[0] for f in PARTS.split(", ")]
+        parts = materialize(parts.join(many, "h", "left_semi").select(*names).mapInArrow(_split_rows(block, width), PARTS), f"split-{block}")
+        discard(many, distinct)
+        found, distinct, many = _repeats(parts, width, group, f"split-{block}")
+        hits = _runs(found).join(parts.select("h", "c1", "c2", *TOPS), ["h", "c1", "c2"])
         out = out.unionByName(hits.select(F.col("top_h").alias("h"), F.col("top_c1").alias("c1"), F.col("top_c2").alias("c2"), (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b")))
-        parents = places
+    out = materialize(out, "dedup-starts")
+    discard(distinct)
     return out
 
 
@@ -242,11 +248,13 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group: i
         return rows.join(side, on).select("k1", "k2", "t", *columns)
 
     contexts = materialize(carried(lists, "hs", "ps").mapInArrow(_context_rows(width), CONTEXTS), "dedup-contexts")
-    starts = materialize(repeated_starts(contexts, width, group), "dedup-starts")
+    discard(found, often, lists)
+    starts = repeated_starts(contexts, width, group)
     marks = contexts.select("h", "c1", "c2", "k1", "k2", "first").join(starts, ["h", "c1", "c2"])
     marks = marks.select("k1", "k2", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
     marks = marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     marks = materialize(marks.join(owners.where(F.col("rows") == 1), ["k1", "k2"]), "dedup-marks")
+    discard(contexts, starts)
     cut = materialize(carried(marks, "runs").mapInArrow(_cut(width), "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>"), "dedup-cut")
     result = owners.select("k1", "k2", (F.col("rows") > 1).alias("copied")).join(cut, ["k1", "k2"], "left")
     whole = F.col("copied") & (F.col("n_bytes") >= width)
