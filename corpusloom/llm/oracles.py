@@ -8,9 +8,11 @@ from corpusloom.llm.secrets import BASE, RULES
 
 SUFFIX = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
-w AS (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS s FROM d WHERE octet_length(b) >= 200),
-h AS (SELECT r, s, count(*) OVER (PARTITION BY md5(b[s:s + 199])) AS n FROM w),
-g AS (SELECT r, s, CASE WHEN s - lag(s) OVER (PARTITION BY r ORDER BY s) <= 200 THEN 0 ELSE 1 END AS fresh FROM h WHERE n > 1),
+l AS (SELECT r, list_transform(range(1, octet_length(b) - 198), lambda s: md5(b[s:s + 199])) AS m FROM d WHERE octet_length(b) >= 200),
+w AS (SELECT r, unnest(m) AS m, unnest(range(1, len(m) + 1)) AS s FROM l),
+u AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+h AS (SELECT r, s FROM w SEMI JOIN u USING (m)),
+g AS (SELECT r, s, CASE WHEN s - lag(s) OVER (PARTITION BY r ORDER BY s) <= 200 THEN 0 ELSE 1 END AS fresh FROM h),
 k AS (SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS span FROM g),
 p AS (SELECT r, span, min(s) AS a, max(s) + 200 AS z FROM k GROUP BY r, span),
 q AS (SELECT p.r, a, z, hex(b[coalesce(lag(z) OVER (PARTITION BY p.r ORDER BY a), 1):a - 1]) AS before FROM p JOIN d ON d.r = p.r),
