@@ -130,6 +130,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, cell: int = CELL) -> Data
     best = known.groupBy("root").agg(F.min("least").alias("component"))
     moved = known.join(best, "root").select("node", "component")
     final = prints.join(moved, prints.fp == moved.node, "left").select(F.col("fp").alias("key"), F.coalesce("component", "least").alias("component_id"))
+    final = materialize(final, "simhash-final")  # so that both sides are plain exchanges, and a hot fingerprint's partition can be split
     return rows.join(final, rows.fp == final.key).select("doc_id", "fp", "component_id")
 
 
@@ -140,7 +141,8 @@ def dedup(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """
     kept = near_duplicates(docs, k).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.count("*").alias("n"))
     kept = materialize(kept.select(F.col("component_id").alias("cl_keep"), "n"), "simhash-kept")
-    out = docs.join(kept, docs.doc_id.eqNullSafe(kept.cl_keep)).drop("cl_keep")
+    # the narrow side is hashed a partition at a time, so the texts need no sort
+    out = docs.join(kept.hint("shuffle_hash"), docs.doc_id.eqNullSafe(kept.cl_keep)).drop("cl_keep")
     single = out.where("n = 1").drop("n")
     if kept.where("n > 1").isEmpty():
         return single
