@@ -2,11 +2,10 @@
 
 View A sees the text's content: hashed words, hashed word endings, and how many
 words are distinct.  View B sees the page's metadata: source, language, length,
-lines, the shares of character classes, and how far
-the page compresses.  Both are logistic regressions.  In
-each round either view labels the pool documents it is surest of, in the
-proportion of the labelled classes, and gives them to the other view's training
-set.  Last, each view is calibrated on labelled documents that neither trained
+lines, the shares of character classes, and how far the page compresses.  Both
+are logistic regressions.  In each round either view labels the pool documents
+it is surest of, in the proportion of the labelled classes, and gives them to
+the other view's training set.  Last, each view is calibrated on labelled documents that neither trained
 on (Platt scaling), and every document's score is the mean of the calibrated
 log-odds.
 
@@ -169,8 +168,30 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(a, pa.list_(pa.float32())), pa.array(m, pa.list_(pa.float32()))], names=["doc_id", "label", "a", "b"])
 
 
+WEIGHTS = "a array<double>, b array<double>, scale array<double>, prior double"
+
+
+def _fit(rounds: int):
+    """The model from the sample's features, as one row."""
+
+    def run(found: pa.Table) -> pa.Table:
+        ids = found["doc_id"].to_numpy()
+        found = found.take(np.lexsort((ids, [zlib.crc32(str(i).encode()) for i in ids.tolist()])))
+        label = found["label"].to_numpy()
+        a, b = (found[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c, n in (("a", CONTENT), ("b", SHAPE)))
+        m = cotrain(a[label >= 0], b[label >= 0], label[label >= 0], a[label < 0], b[label < 0], rounds)
+        views = [v for v in (m.a, m.b) if v is not None]
+        row = {"a": views[0].weights.tolist() if views else [], "b": views[1].weights.tolist() if views else [], "scale": [x for v in views for x in (v.slope, v.shift)], "prior": m.prior}
+        return pa.Table.from_pylist([row], pa.schema([(c, pa.list_(pa.float64())) for c in ("a", "b", "scale")] + [("prior", pa.float64())]))
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL, rounds: int = ROUNDS) -> Model:
-    """Co-train on a bounded sample: at most ``sample`` labelled and ``pool`` other documents come to the driver."""
+    """Co-train on a bounded sample: at most ``sample`` labelled and ``pool`` other documents meet in one task.
+
+    Only the weights reach the driver.
+    """
     arrow_batches(docs.sparkSession)
     order = (F.xxhash64(F.lit(SEED), F.col("doc_id")), F.col("doc_id"))
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg("quality")).cast("int").alias("label"))
@@ -179,11 +200,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int =
     ids = chosen.unionByName(others.withColumn("label", F.lit(-1)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source").join(F.broadcast(ids), "doc_id")  # sample + pool rows at most
     rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min(F.struct("text", "lang", "source")).alias("d")).select("doc_id", "label", "d.text", "d.lang", "d.source")
-    found = rows.mapInArrow(_features, FEATURES).toArrow()
-    found = found.take(np.lexsort((found["doc_id"].to_numpy(), [zlib.crc32(str(i).encode()) for i in found["doc_id"].to_pylist()]))) if found.num_rows else found
-    label = found["label"].to_numpy()
-    a, b = (np.array(found[c].combine_chunks().flatten().to_numpy(), np.float32).reshape(-1, n) for c, n in (("a", CONTENT), ("b", SHAPE)))
-    return cotrain(a[label >= 0], b[label >= 0], label[label >= 0], a[label < 0], b[label < 0], rounds)
+    found = rows.mapInArrow(_features, FEATURES).groupBy(F.lit(0).alias("all")).applyInArrow(_fit(rounds), WEIGHTS).first()
+    if found is None or not found["scale"]:
+        return Model(None, None, found["prior"] if found else 1.0)
+    views = [View(np.array(found[c]), *found["scale"][i : i + 2]) for c, i in (("a", 0), ("b", 2))]
+    return Model(views[0], views[1], found["prior"])
 
 
 #: Documents that score below this go.
