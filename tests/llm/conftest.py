@@ -15,7 +15,7 @@ def tricky(spark, seed=1, n=60):
     texts[9] = texts[8].replace("alpha", "beta", 1)
     rows = [(i, t, ["en", "fr", None][i % 3], ["s0", "s0", "s1", None][i % 4], len(t or ""), i, "z") for i, t in enumerate(texts)]
     rows += [rows[10], rows[10], (None, texts[11], "en", "s1", 1, 0, "z"), (None, None, None, None, None, None, None)]
-    return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame(rows, SCHEMA).coalesce(2)
 
 
 @pytest.fixture(scope="session")
