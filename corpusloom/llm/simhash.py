@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import arrow_batches, materialize
 from corpusloom.llm.components import components
+from corpusloom.llm.neardup import dedup  # noqa: F401  (the pipeline's own stage, exact)
 
 SHINGLE, MAX_BITS, CELL, CHUNK = 3, 2, 16, 1 << 15
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -132,18 +133,3 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, cell: int = CELL) -> Data
     final = prints.join(moved, prints.fp == moved.node, "left").select(F.col("fp").alias("key"), F.coalesce("component", "least").alias("component_id"))
     final = materialize(final, "simhash-final")  # so that both sides are plain exchanges, and a hot fingerprint's partition can be split
     return rows.join(final, rows.fp == final.key).select("doc_id", "fp", "component_id")
-
-
-def dedup(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` less all but one document of each component, columns unchanged.
-
-    The component's least doc_id stays; of rows that repeat it, one.
-    """
-    kept = near_duplicates(docs, k).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.count("*").alias("n"))
-    kept = materialize(kept.select(F.col("component_id").alias("cl_keep"), "n"), "simhash-kept")
-    # the narrow side is hashed a partition at a time, so the texts need no sort
-    out = docs.join(kept.hint("shuffle_hash"), docs.doc_id.eqNullSafe(kept.cl_keep)).drop("cl_keep")
-    single = out.where("n = 1").drop("n")
-    if kept.where("n > 1").isEmpty():
-        return single
-    return single.unionByName(out.where("n > 1").drop("n").dropDuplicates(["doc_id"]))
