@@ -6,7 +6,7 @@ lines, the shares of character classes, and how far the page compresses.  Both
 are logistic regressions.  In each round either view labels the pool documents
 it is surest of, in the proportion of the labelled classes, and gives them to
 the other view's training set.  Last, each view is calibrated on labelled documents that neither trained
-on (Platt scaling), and every document's score is the mean of the calibrated
+on (Platt scaling on a fifth of each class), and every document's score is the mean of the calibrated
 log-odds.
 
 Fitting uses at most ``SAMPLE`` labelled documents and a pool of at most
@@ -129,11 +129,20 @@ class Model:
 
 
 def cotrain(xa, xb, y, pool_a, pool_b, rounds: int = ROUNDS, grow: int = GROW) -> Model:
-    """Both views after ``rounds`` exchanges; the last fifth of the labelled rows only calibrates."""
+    """Both views after ``rounds`` exchanges; the last fifth of the labelled rows of each class only calibrates.
+
+    If a fifth of a class is less than a row, all rows train and the views stay uncalibrated.
+    """
     prior = float(y.mean()) if len(y) else 1.0
-    cut = len(y) - len(y) // 5
-    if len(set(y[:cut].tolist())) < 2 or len(set(y[cut:].tolist())) < 2:
+    classes = [np.flatnonzero(y == c) for c in (0, 1)]
+    if not all(map(len, classes)):
         return Model(None, None, prior)
+    held = np.sort(np.concatenate([c[len(c) - len(c) // 5 :] for c in classes]))
+    calibrated = all(len(c) >= 5 for c in classes)
+    if not calibrated:
+        held = held[:0]
+    order = np.concatenate([np.setdiff1d(np.arange(len(y)), held), held])
+    xa, xb, y, cut = xa[order], xb[order], y[order], len(y) - len(held)
     sets = [(xa[:cut], y[:cut]), (xb[:cut], y[:cut])]
     left, pools = np.arange(len(pool_a)), (pool_a, pool_b)
     views = [fit(*s) for s in sets]
@@ -152,7 +161,7 @@ def cotrain(xa, xb, y, pool_a, pool_b, rounds: int = ROUNDS, grow: int = GROW) -
             taken.append(pick)
         left = np.delete(left, np.unique(np.concatenate(taken)))
         views = [fit(*s) for s in sets]
-    for view, x in zip(views, (xa, xb), strict=True):
+    for view, x in zip(views if calibrated else [], (xa, xb), strict=False):
         platt(view, x[cut:], y[cut:])
     return Model(views[0], views[1], prior)
 
