@@ -1,11 +1,11 @@
 """Line dedup by distinct-site spread.
 
 A line is boilerplate if it occurs on ``MIN_SITES`` distinct sites or more.
-Lines are known by a 128-bit hash.  Lines with fewer rows than that cannot
-spread so far and are left out by a plain count; the others get a HyperLogLog
-sketch of their sites, partial sketches merging in the aggregation, so that a
-line on a third of all rows costs one small sketch a task.  Where the estimate
-lies within ``BAND`` of the threshold, the distinct sites are counted exactly.
+Lines are known by a 128-bit hash.  One aggregation gives every line a
+HyperLogLog sketch of its sites: each task sketches its own rows and the
+partial sketches merge, so a line on a third of all rows sends one small sketch
+a task, and no (line, site) pair is built.  Only for lines whose estimate lies
+within ``BAND`` of the threshold the distinct sites are counted exactly.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import arrow_batches, materialize
 
 MIN_SITES, LG_K = 8, 12
-#: Six standard errors (0.83 / sqrt(2 ** LG_K)) of the sketch.
+#: Six standard errors (0.83 / sqrt(2 ** LG_K)) of the sketch; the band is one site wide at least.
 BAND = 0.08
-#: Up to so many boilerplate lines (16 bytes each) go to the tasks by broadcast, else by a join.
+#: Up to so many lines (16 bytes each) go to the tasks by broadcast, else by a join.
 BROADCAST_LINES = 200_000
 SEED_1, SEED_2 = 42, 20_023
 
@@ -38,20 +38,28 @@ def hashed_lines(docs: DataFrame, site: str = "source") -> DataFrame:
     return lines.where(F.trim("line") != "").select("k1", "k2", "pos", _line_hash(F.col("line")).alias("h"), "site").select("k1", "k2", "pos", "h.h1", "h.h2", "site")
 
 
-def spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def near_threshold(sketched: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """The rows of ``sketched`` (h1, h2, sites) whose estimate does not decide on its own."""
+    return sketched.where(F.abs(F.col("sites") - min_sites) <= max(1.0, min_sites * BAND))
+
+
+def site_pairs(lines: DataFrame, near: DataFrame, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+    """h1, h2, site: the distinct pairs of the lines in ``near`` (stored), folded in each task before the exchange."""
+    side = F.broadcast(near) if near.count() <= broadcast_lines else near
+    return lines.where("site IS NOT NULL").join(side, ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct()
+
+
+def spread(lines: DataFrame, min_sites: int = MIN_SITES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """h1, h2, sites of the lines on at least ``min_sites`` sites; null is no site.
 
     ``sites`` is exact near the threshold and an estimate above.
     """
-    often = materialize(lines.groupBy("h1", "h2").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites).drop("n"), "often")
-    some = lines.where("site IS NOT NULL").join(often, ["h1", "h2"], "left_semi").select("h1", "h2", "site")
-    some = materialize(some.groupBy("h1", "h2", "site").agg(F.count("*").alias("n")), "line-sites")
-    sketched = some.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
+    sketch = F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites")
+    sketched = lines.where("site IS NOT NULL").groupBy("h1", "h2").agg(sketch).where(F.col("sites") >= min_sites - max(1.0, min_sites * BAND))
     sketched = materialize(sketched, "line-sketches")
-    sure = sketched.where(F.col("sites") > min_sites * (1 + BAND))
-    near = sketched.where(F.abs(F.col("sites") - min_sites) <= min_sites * BAND).select("h1", "h2")
-    exact = some.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
-    return sure.unionByName(exact)
+    near = materialize(near_threshold(sketched, min_sites).select("h1", "h2"), "line-near")
+    exact = site_pairs(lines, near, broadcast_lines).groupBy("h1", "h2").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
+    return sketched.join(near, ["h1", "h2"], "left_anti").where(F.col("sites") > min_sites).unionByName(exact)
 
 
 def _signed(x: int) -> int:
@@ -83,7 +91,8 @@ def remove(docs: DataFrame, boilerplate: DataFrame, site: str = "source", broadc
 
         return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, n_lines bigint, n_removed bigint, kept string")
     marks = hashed_lines(docs, site).join(boilerplate.select("h1", "h2"), ["h1", "h2"]).select("k1", "k2", "pos").distinct()
-    marks = marks.groupBy("k1", "k2").agg(F.collect_list("pos").alias("gone"))
+    # stored, so that both sides of the join are plain exchanges and a hot text's partition can be split
+    marks = materialize(marks.groupBy("k1", "k2").agg(F.collect_list("pos").alias("gone")), "line-marks")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(SEED_2), text).alias("k2")).join(marks, ["k1", "k2"], "left")
     rows = rows.withColumn("lines", F.split("text", "\n")).withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
@@ -98,7 +107,7 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
     site; a line is removed wherever it stands, repeats included; repeated rows
     each get their result; an empty table gives an empty result.
     """
-    boilerplate = materialize(spread(hashed_lines(docs, site), min_sites), "boilerplate")
+    boilerplate = materialize(spread(hashed_lines(docs, site), min_sites, broadcast_lines), "boilerplate")
     return remove(docs, boilerplate, site, broadcast_lines)
 
 

@@ -109,6 +109,17 @@ def test_sketch_spread_over_many_sites(spark):
     assert set(got) == {k for k, n in exact.items() if n > 450}
 
 
+def test_pairs_are_built_near_the_threshold_only(spark):
+    """Line k stands on k sites, once or 300 times on each; pairs are built for the lines around 20 only."""
+    lines = spark.range(1, 41).selectExpr("id AS h1", "0L AS h2", "explode(sequence(1, id)) AS s").selectExpr("h1", "h2", "concat('s', s) AS site", "explode(sequence(1, CASE WHEN h1 % 7 = 0 THEN 300 ELSE 1 END)) AS i").drop("i")
+    sketched = lines.groupBy("h1", "h2").agg(linededup.F.hll_sketch_estimate(linededup.F.hll_sketch_agg("site", linededup.LG_K)).alias("sites"))
+    near = linededup.near_threshold(sketched, 20)
+    for limit in (linededup.BROADCAST_LINES, 0):
+        pairs = rows(linededup.site_pairs(lines, near, limit))
+        assert {r["h1"] for r in pairs} == {19, 20, 21} and len(pairs) == 60
+        assert {r["h1"]: r["sites"] for r in rows(linededup.spread(lines, 20, limit))} == {k: k for k in range(20, 41)}
+
+
 def test_quality(spark, docs, no_docs, sf):
     table, labels = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet"), spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet")
     truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
