@@ -20,11 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (single-machine tests) a temporary folder is made and set.
+    and the master is local (single-machine tests) a temporary folder is made
+    and set; elsewhere an unset folder is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext.getCheckpointDir()
+        if not held and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         path = held or "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         if not held:
             spark.sparkContext.setCheckpointDir(path)
@@ -32,23 +35,34 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage with a replica that survives lost executors.  The
     files go when the driver ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, folder(df.sparkSession, name)
     df.write.parquet(path)
-    if not _written:
-        atexit.register(_remove_written)
-    _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._cl_path = path
     return out
 
 
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether something is at ``path``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing will read again.
 

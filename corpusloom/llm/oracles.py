@@ -4,7 +4,16 @@ from __future__ import annotations
 
 import string
 
-from corpusloom.llm.secrets import BASE, RULES
+BASE = ("assign", "access", "hex")
+#: kind -> pattern, group whose length counts (0: the match), least length; the first three as the contract words them.
+RULES = {
+    "assign": (r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
+    "access": (r"AKIA[A-Z0-9]+", 0, 18),
+    "hex": (r"[0-9a-f]+", 0, 16),
+    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 20),
+    "forge": (r"gh[opsur]_[A-Za-z0-9]+", 0, 24),
+    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+}
 
 SUFFIX = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),

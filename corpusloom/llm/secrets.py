@@ -1,9 +1,10 @@
 """Secret scans with an incremental blob ledger.
 
-Every version of a document is addressed by the SHA-256 of its text.  A blob is
-scanned once for each version of the rules: pairs of blob and rule version that
-the ledger already holds are left out, and findings are joined back to every
-path (row) that has the blob.
+Every version of a document is addressed by the SHA-256 of its text.  The
+ledger is a table in the shared folder with a row for each pair of blob and
+rule version that was scanned.  A run folds its rows to blobs, leaves out the
+pairs that the ledger holds, scans the others once, appends them, and joins the
+ledger's findings back to every path (row) that has the blob.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_batches, utf8
+from corpusloom.llm.common import arrow_batches, folder, materialize, stored, utf8
 
 
 def _either(word: str) -> str:
@@ -25,16 +26,21 @@ def _either(word: str) -> str:
 
 
 _KEY = "(?:" + "|".join(_either(w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")"
+_C = "[A-Za-z0-9_-]"
 #: kind -> pattern, group whose length counts (0: the match), least length.  The first three are the base rules.
+#: A pattern's finding is its group ``hit``, if it has one.
 RULES: dict[str, tuple[str, int, int]] = {
     "assign": (_KEY + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
     "access": (r"AKIA[A-Z0-9]+", 0, 18),
     "hex": (r"[0-9a-f]{16,}", 0, 16),
-    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 20),
+    # eyJ and 8 or more, a dot, 8 or more, a dot, 1 or more; a run of letters is entered once, at its first eyJ, which is its best
+    "jwt": (rf"(?<!{_C})(?>{_C}*?(?=eyJ))(?P<hit>eyJ{_C}{{8,}}+\.{_C}{{8,}}+\.{_C}+)", 0, 20),
     "forge": (r"gh[opsur]_[A-Za-z0-9]+", 0, 24),
     "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
 }
 BASE = ("assign", "access", "hex")
+#: Up to so many unseen blobs (64 bytes each) pick out their texts by broadcast, else by a join.
+BROADCAST_BLOBS = 200_000
 LEDGER = "blob string, rules string, n_assign long, n_access long, n_hex long, base string, spans string"
 
 
@@ -48,7 +54,8 @@ def find(text: str, compiled: list[tuple[int, str, re.Pattern, int, int]]) -> li
     for order, kind, pattern, group, least in compiled:
         for m in pattern.finditer(text):
             if m.end(group) - m.start(group) >= least:
-                out.append((m.start(), order, kind, m.end()))
+                start, end = m.span("hit" if "hit" in pattern.groupindex else 0)
+                out.append((start, order, kind, end))
     return sorted(out)
 
 
@@ -70,42 +77,52 @@ def scanner(rules: dict = RULES):
     return scan
 
 
-def addressed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and blob, the SHA-256 of the text (null: empty)."""
-    return docs.select("doc_id", "text", F.sha2(utf8(), 256).alias("blob"))
-
-
-def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: dict = RULES) -> DataFrame:
+def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: dict = RULES, broadcast_blobs: int = BROADCAST_BLOBS) -> DataFrame:
     """Ledger rows (see ``LEDGER``) for the blobs of ``docs`` that ``ledger`` lacks under these rules.
 
-    Of rows that share a blob, the one with the least doc_id carries it to the
-    scan; the exchange is on blob and doc_id, so a large group of copies does
-    not meet in one task.
+    Each task folds its copies of a text to one before the exchange, so a large
+    group of copies, or one repeated row, sends a text a task at most.
     """
     arrow_batches(docs.sparkSession)
-    rows = addressed(docs)
-    unseen = rows.groupBy("blob").agg(F.min("doc_id").alias("carrier"))
-    if ledger is not None:
-        unseen = unseen.join(ledger.where(F.col("rules") == rule_version(rules)).select("blob"), "blob", "left_anti")
-    unseen = unseen.withColumnRenamed("blob", "c_blob")
-    carried = rows.join(unseen, (rows.blob == unseen.c_blob) & rows.doc_id.eqNullSafe(unseen.carrier), "left_semi")
-    # rows alike in doc_id and text carry their blob more than once
-    return carried.select("blob", "text").mapInArrow(scanner(rules), LEDGER).dropDuplicates(["blob"])
+    rows = docs.select(F.sha2(utf8(), 256).alias("blob"), "text")
+    once = lambda r: r.groupBy("blob").agg(F.first("text").alias("text"))
+    if ledger is None:
+        return once(rows).mapInArrow(scanner(rules), LEDGER)
+    seen = ledger.where(F.col("rules") == rule_version(rules)).select("blob")
+    unseen = materialize(rows.select("blob").distinct().join(seen, "blob", "left_anti"), "unseen-blobs")
+    few = unseen.count() <= broadcast_blobs
+    carried = once(rows.join(F.broadcast(unseen), "blob", "left_semi")) if few else once(rows).join(unseen, "blob", "left_semi")
+    return carried.mapInArrow(scanner(rules), LEDGER)
 
 
-def secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: dict = RULES) -> DataFrame:
-    """Findings of every row of ``docs``: doc_id, blob and the ledger's columns.
-
-    Without a ledger all blobs are unseen.  Null text is the empty blob, which
-    has no findings; repeated rows each get the blob's findings; other columns
-    are not read; an empty table gives an empty result.
-    """
-    new = scan_unseen(docs, ledger, rules)
-    if ledger is not None:
-        new = new.unionByName(ledger.where(F.col("rules") == rule_version(rules)))
-    return docs.select("doc_id", F.sha2(utf8(), 256).alias("blob")).join(new, "blob")
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at ``path``, a row for each pair, however often one was appended; None where there is none yet."""
+    if not stored(spark, path):
+        return None
+    return spark.read.schema(LEDGER).parquet(path).dropDuplicates(["blob", "rules"])
 
 
 def append_ledger(new: DataFrame, path: str) -> None:
-    """Add newly scanned pairs to the ledger table at ``path``."""
+    """Add newly scanned pairs to the ledger at ``path``; pairs that it holds already are left out, so a retry adds nothing."""
+    held = read_ledger(new.sparkSession, path)
+    if held is not None:
+        new = materialize(new.join(held.select("blob", "rules"), ["blob", "rules"], "left_anti"), "ledger-new")
     new.write.mode("append").partitionBy("rules").parquet(path)
+
+
+def secrets(docs: DataFrame, path: str | None = None, rules: dict = RULES, broadcast_blobs: int = BROADCAST_BLOBS) -> DataFrame:
+    """Findings of every row of ``docs``: doc_id, blob and the ledger's columns.
+
+    The ledger at ``path`` is read, unseen pairs are scanned and appended to it;
+    without a path the run has a ledger of its own, which starts empty.  Null
+    text is the empty blob, which has no findings; versions of one doc_id are
+    blobs of their own; repeated rows each get the blob's findings; other
+    columns are not read; an empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    path = path or folder(spark, "ledger")
+    ledger = read_ledger(spark, path)
+    append_ledger(scan_unseen(docs, ledger, rules, broadcast_blobs), path)
+    # both sides of the join are plain exchanges of narrow rows, so a hot blob's partition can be split
+    found = spark.read.schema(LEDGER).parquet(path) if ledger is None else materialize(read_ledger(spark, path), "ledger-read")
+    return docs.select("doc_id", F.sha2(utf8(), 256).alias("blob")).join(found.where(F.col("rules") == rule_version(rules)), "blob")

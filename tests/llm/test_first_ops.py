@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -43,15 +44,40 @@ def test_secrets(spark, docs, no_docs):
 
 def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     a = spark.createDataFrame([(1, "token=abcdefghijklm"), (2, "x"), (3, "x")], "doc_id long, text string")
-    b = a.union(spark.createDataFrame([(4, "secret=abcdefghijklm"), (5, "x")], "doc_id long, text string"))
-    secrets.append_ledger(secrets.scan_unseen(a), str(tmp_path / "l"))
-    ledger = spark.read.parquet(str(tmp_path / "l"))
-    assert ledger.count() == 2
-    new = secrets.scan_unseen(b, ledger)
-    assert [r["n_assign"] for r in rows(new)] == [1]
-    assert {r["doc_id"]: r["n_assign"] for r in rows(secrets.secrets(b, ledger))} == {1: 1, 2: 0, 3: 0, 4: 1, 5: 0}
+    # a later state of the corpus: doc 1 has a second version
+    b = a.union(spark.createDataFrame([(1, "token=abcdefghijklmn0"), (4, "secret=abcdefghijklm"), (5, "x")], "doc_id long, text string"))
+    path = str(tmp_path / "l")
+    assert secrets.read_ledger(spark, path) is None
+    assert len(rows(secrets.secrets(a, path))) == 3
+    assert spark.read.parquet(path).count() == 2
+    for limit in (0, 10):
+        new = secrets.scan_unseen(b, secrets.read_ledger(spark, path), broadcast_blobs=limit)
+        assert sorted(r["spans"] for r in rows(new)) == ["assign:0:20", "assign:0:21"]
+    want = sorted([(1, 1), (1, 1), (2, 0), (3, 0), (4, 1), (5, 0)])
+    for _ in range(2):  # the second run has nothing to scan
+        assert sorted((r["doc_id"], r["n_assign"]) for r in rows(secrets.secrets(b, path))) == want
+        assert spark.read.parquet(path).count() == 4
+    secrets.append_ledger(secrets.scan_unseen(b), path)  # a retried append
+    assert spark.read.parquet(path).count() == 4
+    spark.read.parquet(path).select(*secrets.read_ledger(spark, path).columns).limit(3).write.mode("append").partitionBy("rules").parquet(path)  # two writers at once
+    assert spark.read.parquet(path).count() == 7
+    assert sorted((r["doc_id"], r["n_assign"]) for r in rows(secrets.secrets(b, path))) == want
     other = dict(secrets.RULES, extra=("zzz", 0, 0))
-    assert secrets.scan_unseen(b, ledger, other).count() == 3
+    assert secrets.scan_unseen(b, secrets.read_ledger(spark, path), other).count() == 4
+
+
+def test_jwt_rule_is_linear_and_plain(spark):
+    c = "[A-Za-z0-9_-]"
+    plain = re.compile(rf"eyJ{c}{{8,}}\.{c}{{8,}}\.{c}+")
+    pattern = re.compile(secrets.RULES["jwt"][0])
+    r = np.random.default_rng(4)
+    parts = ["eyJ", "eyJabcdefgh", "abcdefgh1", ".", ".", " ", "-", "x", "eyJhbGciOiJI.eyJzdWIiOiIx.sig"]
+    for _ in range(3000):
+        t = "".join(parts[i] for i in r.integers(0, len(parts), 9))
+        assert [m.span("hit") for m in pattern.finditer(t)] == [m.span() for m in plain.finditer(t)], t
+    t0 = time.perf_counter()
+    assert not list(pattern.finditer("eyJ" * 700_000)) and not list(pattern.finditer("-eyJ." * 400_000))
+    assert time.perf_counter() - t0 < 5
 
 
 def test_sharding(spark, docs, no_docs):
