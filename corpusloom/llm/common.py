@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,3 +106,9 @@ def arrow_batches(spark: SparkSession) -> None:
 def utf8(column: str = "text"):
     """The text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values of ``x``, sorted; by sorting, which is faster than hashing."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x

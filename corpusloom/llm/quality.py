@@ -1,16 +1,19 @@
 """Quality classifier by co-training.
 
-View A sees the text's content: hashed words, hashed word endings, and how many
-words are distinct.  View B sees the page's metadata: source, language, length,
-lines, the shares of character classes, and how far the page compresses.  Both
-are logistic regressions.  In each round either view labels the pool documents
-it is surest of, in the proportion of the labelled classes, and gives them to
-the other view's training set.  Last, each view is calibrated on labelled documents that neither trained
-on (Platt scaling on a fifth of each class), and every document's score is the mean of the calibrated
-log-odds.
-
-Fitting uses at most ``SAMPLE`` labelled documents and a pool of at most
-``POOL`` others, those with the least hash of doc_id.  Scoring covers all rows.
+View A sees the text's content: hashed words, hashed word endings, the shares
+of distinct words and word pairs, and of character classes.  View B sees the
+page's metadata: source, language, length and line layout.  Both are logistic
+regressions, calibrated on labelled documents that neither trained on (Platt
+scaling on a fifth of each class).  In each round either view scores every
+document outside the labelled sample, labels the ``GROW`` that it is surest of,
+in the proportion of the labelled classes and if its calibrated confidence is
+``SURE`` or more, and gives them to the other view's training set.  Every
+document's score combines the views: the sum of their calibrated log-odds, less
+the classes' own, which both contain.
+
+Fitting uses at most ``SAMPLE`` labelled documents, those with the least hash
+of doc_id, and what the rounds exchange.  A round is one pass over all other
+documents; a task keeps only its own surest ones.  Scoring covers all rows.
 """
 
 from __future__ import annotations
@@ -25,48 +28,121 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_batches
+from corpusloom.llm.common import arrow_batches, distinct, materialize
 
-SAMPLE, POOL, ROUNDS, GROW = 4000, 4000, 4, 200
+SAMPLE, ROUNDS, GROW, SURE = 4000, 2, 200, 0.9
 WORDS, ENDS, META = 1024, 256, 64
-SEED, STEPS, RIDGE = 5, 150, 1e-3
-CONTENT = WORDS + ENDS + 2
-SHAPE = META + 11
+SEED, STEPS, RIDGE = 5, 100, 1e-3
+CONTENT = WORDS + ENDS + 10
+SHAPE = META + 5
 #: Shares of upper-case, lower-case, digit, space and other bytes are drawn towards these by so many bytes.
 USUAL, DRAW = np.array([0.02, 0.8, 0.0, 0.16, 0.02]), 60
-_CLASS = np.zeros((256, 5), np.float64)
+#: Texts are looked at in parts of so many bytes, cut at white space; distinct words count by part.
+PART, CHUNK = 1 << 20, 1 << 21
+_CLASS = np.zeros(256, np.uint8)
 for _i in range(256):
     _c = bytes([_i])
-    _CLASS[_i, 0 if _c.isupper() else 1 if _c.islower() or _i >= 128 else 2 if _c.isdigit() else 3 if _c.isspace() else 4] = 1
-
-
-def content(text: bytes) -> np.ndarray:
-    """View A of the whole text."""
-    x, w = np.zeros(CONTENT, np.float32), text.split()
-    if w:
-        h = zlib.crc32
-        words = np.bincount(np.fromiter((h(t) for t in w), np.int64, len(w)) % WORDS, minlength=WORDS)
-        ends = np.bincount(np.fromiter((h(t[-2:]) for t in w), np.int64, len(w)) % ENDS, minlength=ENDS)
-        for i, counts in ((0, words), (WORDS, ends)):
-            v = np.log1p(counts)
-            x[i : i + len(v)] = v / np.linalg.norm(v)
-        x[-2] = len(set(w)) / len(w)
-        x[-1] = 1 / math.sqrt(len(w))
+    _CLASS[_i] = 0 if _c.isupper() else 1 if _c.islower() or _i >= 128 else 2 if _c.isdigit() else 3 if _c.isspace() else 4
+_M, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+_UP, _DOWN = _powers(PART + CHUNK, _M), _powers(PART + CHUNK, pow(_M, -1, 1 << 64))
+
+
+def _parts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Texts cut into parts, in groups of about ``CHUNK`` bytes: the number of each part's text, and the parts."""
+    at, held, size = [], [], 0
+    for i, t in enumerate(texts):
+        start = 0
+        while start < len(t):
+            end = len(t)
+            if end - start > PART:
+                space = max(t.rfind(c, start, start + PART) for c in (b" ", b"\n"))
+                end = space if space > start else start + PART
+            if held and size + end - start > CHUNK:
+                yield np.array(at), held
+                at, held, size = [], [], 0
+            at.append(i)
+            held.append(t[start:end])
+            size += end - start
+            start = end
+    if held:
+        yield np.array(at), held
+
+
+def _class_counts(text: bytes) -> np.ndarray:
+    counts = sum(np.bincount(np.frombuffer(text, np.uint8, min(CHUNK, len(text) - i), i), minlength=256) for i in range(0, len(text), CHUNK))
+    return np.bincount(_CLASS, np.broadcast_to(counts, 256), minlength=5)
+
+
+def _distinct(own: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """How many different values of ``h`` each of ``n`` parts has."""
+    found = distinct((own.astype(np.uint64) << np.uint64(43)) | (h >> np.uint64(21)))
+    return np.bincount((found >> np.uint64(43)).astype(np.int64), minlength=n)
+
+
+def content(texts: list[bytes]) -> np.ndarray:
+    """View A of whole texts, a row each."""
+    n = len(texts)
+    words, ends, rest = np.zeros((n, WORDS)), np.zeros((n, ENDS)), np.zeros((n, 4))
+    shares = np.array([_class_counts(t) for t in texts], np.float64).reshape(n, 5)
+    for at, parts in _parts(texts):
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        edge = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        inside = _CLASS[data] != 3
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        first[edge[:-1]] = inside[edge[:-1]]
+        last = inside.copy()
+        last[:-1] &= ~inside[1:]
+        last[edge[1:] - 1] = inside[edge[1:] - 1]
+        a, z = np.flatnonzero(first), np.flatnonzero(last)
+        if not len(a):
+            continue
+        own = np.searchsorted(edge, a, side="right") - 1
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * _UP[: len(data)])])
+        h = (run[z + 1] - run[a]) * _DOWN[a]
+        h = (h ^ (h >> np.uint64(32))) * _MIX
+        h ^= h >> np.uint64(29)
+        tail = data[z].astype(np.int64) * 7 + np.where(z > a, data[z - 1].astype(np.int64) * 61, 0)
+        doc = at[own]
+        np.add(words, np.bincount(doc * WORDS + (h % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS), out=words)
+        np.add(ends, np.bincount(doc * ENDS + tail % ENDS, minlength=n * ENDS).reshape(n, ENDS), out=ends)
+        same = own[1:] == own[:-1]
+        pair = (h[:-1] * _MIX + h[1:])[same]
+        for k, x in enumerate((np.bincount(own, minlength=len(parts)), _distinct(own, h, len(parts)), np.bincount(own[1:][same], minlength=len(parts)), _distinct(own[1:][same], pair * _MIX, len(parts)))):
+            np.add.at(rest[:, k], at, x)
+    x = np.zeros((n, CONTENT), np.float32)
+    for i, counts in ((0, words), (WORDS, ends)):
+        v = np.log1p(counts)
+        x[:, i : i + v.shape[1]] = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    size = shares.sum(axis=1, keepdims=True)
+    mixed = np.where(size > 0, (shares + DRAW * USUAL) / (size + DRAW), 0)
+    some = rest[:, 0] > 0
+    x[:, -10] = np.where(some, rest[:, 1] / np.maximum(rest[:, 0], 1), 0)
+    x[:, -9] = np.where(some, (rest[:, 3] + 1) / (rest[:, 2] + 1), 0)
+    x[:, -8] = np.where(some, 1 / np.sqrt(np.maximum(rest[:, 0], 1)), 0)
+    x[:, -7:-2] = mixed * 3
+    x[:, -2], x[:, -1] = mixed[:, 4] > 0.08, mixed[:, 0] > 0.3
     return x
 
 
-def metadata(text: bytes, lang: str | None, source: str | None) -> np.ndarray:
-    """View B of the page."""
-    x = np.zeros(SHAPE, np.float32)
-    x[zlib.crc32(f"source={source}".encode()) % META] = 1
-    x[zlib.crc32(f"lang={lang}".encode()) % META] = 1
-    n = len(text)
-    if n:
-        shares = (np.bincount(np.frombuffer(text, np.uint8), minlength=256) @ _CLASS + DRAW * USUAL) / (n + DRAW)
-        lines = text.count(b"\n") + 1
-        x[META : META + 5] = shares * 3
-        packed = (len(zlib.compress(text, 1)) + DRAW / 2) / (n + DRAW)
-        x[META + 5 :] = math.log1p(n) / 10, math.log1p(lines) / 5, math.log1p(n / lines) / 7, float(shares[4] > 0.08), float(shares[0] > 0.3), 3 * min(1.0, packed)
+def metadata(texts: list[bytes], langs: list[str | None], sources: list[str | None]) -> np.ndarray:
+    """View B of pages, a row each: of the text only its length and how it lies in lines."""
+    x = np.zeros((len(texts), SHAPE), np.float32)
+    for i, (t, lang, source) in enumerate(zip(texts, langs, sources, strict=True)):
+        x[i, zlib.crc32(f"source={source}".encode()) % META] = 1
+        x[i, zlib.crc32(f"lang={lang}".encode()) % META] = 1
+        n = len(t)
+        if n:
+            lines = t.count(b"\n") + 1
+            x[i, META:] = math.log1p(n) / 10, math.log1p(lines) / 5, math.log1p(n / lines) / 7, t.count(b"\n\n") / lines, 1 / math.sqrt(n)
     return x
 
 
@@ -125,11 +201,11 @@ class Model:
         if self.a is None:
             return np.full((len(xa), 3), self.prior)
         za, zb = self.a.logit(xa), self.b.logit(xb)
-        return np.stack([sigmoid(za), sigmoid(zb), sigmoid((za + zb) / 2)], axis=1)
+        return np.stack([sigmoid(za), sigmoid(zb), sigmoid(za + zb - math.log(self.prior / (1 - self.prior)))], axis=1)
 
 
-def cotrain(xa, xb, y, pool_a, pool_b, rounds: int = ROUNDS, grow: int = GROW) -> Model:
-    """Both views after ``rounds`` exchanges; the last fifth of the labelled rows of each class only calibrates.
+def fit_views(xa: np.ndarray, xb: np.ndarray, y: np.ndarray, given_a: tuple | None = None, given_b: tuple | None = None) -> Model:
+    """Both views from the labelled rows and what each was given (features, labels); the last fifth of each class only calibrates.
 
     If a fifth of a class is less than a row, all rows train and the views stay uncalibrated.
     """
@@ -137,83 +213,139 @@ def cotrain(xa, xb, y, pool_a, pool_b, rounds: int = ROUNDS, grow: int = GROW) -
     classes = [np.flatnonzero(y == c) for c in (0, 1)]
     if not all(map(len, classes)):
         return Model(None, None, prior)
-    held = np.sort(np.concatenate([c[len(c) - len(c) // 5 :] for c in classes]))
     calibrated = all(len(c) >= 5 for c in classes)
-    if not calibrated:
-        held = held[:0]
-    order = np.concatenate([np.setdiff1d(np.arange(len(y)), held), held])
-    xa, xb, y, cut = xa[order], xb[order], y[order], len(y) - len(held)
-    sets = [(xa[:cut], y[:cut]), (xb[:cut], y[:cut])]
-    left, pools = np.arange(len(pool_a)), (pool_a, pool_b)
-    views = [fit(*s) for s in sets]
-    for _ in range(rounds):
-        if not len(left):
-            break
-        taken = []
-        for i in (0, 1):
-            z = views[i].raw(pools[i][left])
-            order = np.argsort(z, kind="stable")
-            positive = round(grow * prior)
-            pick = np.concatenate([order[: min(grow - positive, (z < 0).sum())], order[::-1][: min(positive, (z > 0).sum())]])
-            label = (z[pick] > 0).astype(y.dtype)
-            x, old = sets[1 - i]
-            sets[1 - i] = (np.vstack([x, pools[1 - i][left[pick]]]), np.concatenate([old, label]))
-            taken.append(pick)
-        left = np.delete(left, np.unique(np.concatenate(taken)))
-        views = [fit(*s) for s in sets]
-    for view, x in zip(views if calibrated else [], (xa, xb), strict=False):
-        platt(view, x[cut:], y[cut:])
-    return Model(views[0], views[1], prior)
-
-
-FEATURES = "doc_id bigint, label int, a array<float>, b array<float>"
+    held = np.zeros(len(y), bool)
+    if calibrated:
+        held[np.concatenate([c[len(c) - len(c) // 5 :] for c in classes])] = True
+    views = []
+    for x, given in ((xa, given_a), (xb, given_b)):
+        more, label = given or (x[:0], y[:0])
+        view = fit(np.vstack([x[~held], more]), np.concatenate([y[~held], label]))
+        if calibrated:
+            platt(view, x[held], y[held])
+        views.append(view)
+    return Model(*views, prior)
+
+
+def surest(z: np.ndarray, keys: np.ndarray, positives: int, negatives: int) -> np.ndarray:
+    """Places of the surest positive and negative rows by (log-odds, key), each key once; less sure ones than ``SURE`` are left out."""
+    _, first = np.unique(keys, return_index=True)
+    out, least = [], math.log(SURE / (1 - SURE))
+    for side, most in ((z >= least, positives), (z <= -least, negatives)):
+        at = first[side[first]]
+        out.append(at[np.lexsort((keys[at], -np.abs(z[at])))][:most])
+    return np.concatenate(out)
+
+
+FEATURES = "key bigint, label int, a array<float>, b array<float>"
+
+
+def _views_of(texts: pa.Array, langs: pa.Array, sources: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    whole = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+    return content(whole), metadata(whole, langs.to_pylist(), sources.to_pylist())
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()]
-        a = [content(t) for t in texts]
-        m = [metadata(t, lang, source) for t, lang, source in zip(texts, b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(a, pa.list_(pa.float32())), pa.array(m, pa.list_(pa.float32()))], names=["doc_id", "label", "a", "b"])
+        a, m = _views_of(*(b.column(i) for i in (2, 3, 4)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(a), pa.list_(pa.float32())), pa.array(list(m), pa.list_(pa.float32()))], names=["key", "label", "a", "b"])
 
 
 WEIGHTS = "a array<double>, b array<double>, scale array<double>, prior double"
 
 
-def _fit(rounds: int):
-    """The model from the sample's features, as one row."""
+def _fit(found: pa.Table) -> pa.Table:
+    """The model from the features of labelled rows (view 2) and of rows given to view 0 or 1, as one row."""
+    found = found.take(np.lexsort((found["key"].to_numpy(), found["view"].to_numpy())))
+    label, view = found["label"].to_numpy(), found["view"].to_numpy()
+    a, b = (found[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c, n in (("a", CONTENT), ("b", SHAPE)))
+    m = fit_views(a[view == 2], b[view == 2], label[view == 2], (a[view == 0], label[view == 0]), (b[view == 1], label[view == 1]))
+    views = [v for v in (m.a, m.b) if v is not None]
+    row = {"a": views[0].weights.tolist() if views else [], "b": views[1].weights.tolist() if views else [], "scale": [x for v in views for x in (v.slope, v.shift)], "prior": m.prior}
+    return pa.Table.from_pylist([row], pa.schema([(c, pa.list_(pa.float64())) for c in ("a", "b", "scale")] + [("prior", pa.float64())]))
+
+
+def _model(rows: DataFrame) -> Model:
+    """Fit in one task: the rows are the labelled sample and what the rounds exchanged, both bounded by parameters."""
+    found = rows.groupBy(F.lit(0).alias("all")).applyInArrow(_fit, WEIGHTS).first()
+    if found is None or not found["scale"]:
+        return Model(None, None, found["prior"] if found else 1.0)
+    views = [View(np.array(found[c]), *found["scale"][i : i + 2]) for c, i in (("a", 0), ("b", 2))]
+    return Model(views[0], views[1], found["prior"])
 
-    def run(found: pa.Table) -> pa.Table:
-        ids = found["doc_id"].to_numpy()
-        found = found.take(np.lexsort((ids, [zlib.crc32(str(i).encode()) for i in ids.tolist()])))
-        label = found["label"].to_numpy()
-        a, b = (found[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c, n in (("a", CONTENT), ("b", SHAPE)))
-        m = cotrain(a[label >= 0], b[label >= 0], label[label >= 0], a[label < 0], b[label < 0], rounds)
-        views = [v for v in (m.a, m.b) if v is not None]
-        row = {"a": views[0].weights.tolist() if views else [], "b": views[1].weights.tolist() if views else [], "scale": [x for v in views for x in (v.slope, v.shift)], "prior": m.prior}
-        return pa.Table.from_pylist([row], pa.schema([(c, pa.list_(pa.float64())) for c in ("a", "b", "scale")] + [("prior", pa.float64())]))
 
-    return run
+def _keyed(docs: DataFrame) -> DataFrame:
+    """key (a hash of what the views see), doc_id, text, lang, source."""
+    return docs.select(F.xxhash64("text", "lang", "source").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL, rounds: int = ROUNDS) -> Model:
-    """Co-train on a bounded sample: at most ``sample`` labelled and ``pool`` other documents meet in one task.
+def pick(docs: DataFrame, model: Model, known: set[int], taken: set[int], grow: int) -> list[tuple[int, int, int]]:
+    """(view that is given it, key, label) of the documents that either view is surest of.
 
-    Only the weights reach the driver.
+    Documents in ``known`` (doc_ids) and ``taken`` (keys) are left out; all others
+    are scored, and each task keeps its surest ones, so that the exact surest
+    of all meet in the end.
     """
-    arrow_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    positive = round(grow * model.prior)
+    held = spark.sparkContext.broadcast((model, np.array(sorted(known), np.int64), np.array(sorted(taken), np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known, taken = held.value
+        best = [(np.zeros(0), np.zeros(0, np.int64)), (np.zeros(0), np.zeros(0, np.int64))]
+        for b in batches:
+            ids, keys = b.column(1).fill_null(-1).to_numpy(), b.column(0).to_numpy()
+            free = ~(np.isin(ids, known) & b.column(1).is_valid().to_numpy(zero_copy_only=False)) & ~np.isin(keys, taken)
+            b, keys = b.filter(pa.array(free)), keys[free]
+            if not b.num_rows:
+                continue
+            for i, (view, x) in enumerate(zip((model.a, model.b), _views_of(*(b.column(i) for i in (2, 3, 4))), strict=True)):
+                z, k = np.concatenate([best[i][0], np.round(view.logit(x), 9)]), np.concatenate([best[i][1], keys])
+                at = surest(z, k, positive, grow - positive)
+                best[i] = z[at], k[at]
+        for i, (z, k) in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(z), 1 - i, np.int32)), pa.array(k), pa.array(z)], names=["view", "key", "z"])
+
+    best = materialize(_keyed(docs).mapInArrow(run, "view int, key bigint, z double"), "quality-surest")
+    best = best.groupBy("view", "key").agg(F.max("z").alias("z"))
+    sides = [best.where((F.col("view") == v) & (F.col("z") * s > 0)).orderBy(F.desc(F.abs("z")), "key").limit(n) for v in (0, 1) for s, n in ((1, positive), (-1, grow - positive)) if n]
+    out = sides[0]
+    for s in sides[1:]:
+        out = out.unionByName(s)
+    return sorted((r["view"], r["key"], int(r["z"] > 0)) for r in out.collect())
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, grow: int = GROW) -> Model:
+    """Co-train: at most ``sample`` labelled documents, all others for the rounds' exchange.
+
+    The driver sees the sample's ids, at most ``2 * grow`` keys a round, and the weights.
+    """
+    spark = docs.sparkSession
+    arrow_batches(spark)
     order = (F.xxhash64(F.lit(SEED), F.col("doc_id")), F.col("doc_id"))
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg("quality")).cast("int").alias("label"))
-    chosen = known.orderBy(*order).limit(sample)
-    others = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").join(known, "doc_id", "left_anti").distinct().orderBy(*order).limit(pool)
-    ids = chosen.unionByName(others.withColumn("label", F.lit(-1)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source").join(F.broadcast(ids), "doc_id")  # sample + pool rows at most
-    rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min(F.struct("text", "lang", "source")).alias("d")).select("doc_id", "label", "d.text", "d.lang", "d.source")
-    found = rows.mapInArrow(_features, FEATURES).groupBy(F.lit(0).alias("all")).applyInArrow(_fit(rounds), WEIGHTS).first()
-    if found is None or not found["scale"]:
-        return Model(None, None, found["prior"] if found else 1.0)
-    views = [View(np.array(found[c]), *found["scale"][i : i + 2]) for c, i in (("a", 0), ("b", 2))]
-    return Model(views[0], views[1], found["prior"])
+    labelled = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg("quality")).cast("int").alias("label"))
+    chosen = materialize(labelled.orderBy(*order).limit(sample), "quality-sample")
+    rows = _keyed(docs).join(F.broadcast(chosen), "doc_id")  # sample rows at most, but for repeated doc_ids
+    rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min(F.struct("text", "lang", "source")).alias("d"))
+    rows = rows.select(F.xxhash64(F.lit(SEED), F.col("doc_id")).alias("key"), "label", "d.text", "d.lang", "d.source").mapInArrow(_features, FEATURES)
+    rows = materialize(rows.withColumn("view", F.lit(2)), "quality-labelled")
+    model = _model(rows)
+    if model.a is None:
+        return model
+    known, taken = {r["doc_id"] for r in chosen.select("doc_id").collect()}, set()
+    for _ in range(rounds):
+        found = pick(docs, model, known, taken, grow)
+        if not found:
+            break
+        taken |= {k for _, k, _ in found}
+        wanted = spark.createDataFrame(found, "view int, w_key bigint, label int")
+        keyed = _keyed(docs)
+        once = keyed.join(F.broadcast(wanted.select("w_key").distinct()), keyed.key == F.col("w_key")).groupBy("key").agg(F.first(F.struct("text", "lang", "source")).alias("d"))
+        given = once.select("key", F.lit(0).alias("label"), "d.text", "d.lang", "d.source").mapInArrow(_features, FEATURES).drop("label")
+        given = given.join(F.broadcast(wanted), given.key == F.col("w_key")).select("key", "label", "a", "b", "view")
+        rows = rows.unionByName(materialize(given, "quality-given"))
+        model = _model(rows)
+    return model
 
 
 #: Documents that score below this go.
@@ -228,10 +360,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()]
-            xa = np.array([content(t) for t in texts], np.float32).reshape(-1, CONTENT)
-            xb = np.array([metadata(t, lang, s) for t, lang, s in zip(texts, b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)], np.float32).reshape(-1, SHAPE)
-            s = held.value.scores(xa, xb)
+            s = held.value.scores(*_views_of(*(b.column(i) for i in (2, 3, 4))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(s[:, i]) for i in range(3))], names=["doc_id", "text_key", "p_content", "p_metadata", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text", "lang", "source")
@@ -257,9 +386,6 @@ def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or b"" for t in b.column(at[0]).cast(pa.binary()).to_pylist()]
-            xa = np.array([content(t) for t in texts], np.float32).reshape(-1, CONTENT)
-            xb = np.array([metadata(t, lang, s) for t, lang, s in zip(texts, b.column(at[1]).to_pylist(), b.column(at[2]).to_pylist(), strict=True)], np.float32).reshape(-1, SHAPE)
-            yield b.filter(pa.array(held.value.scores(xa, xb)[:, 2] >= THRESHOLD))
+            yield b.filter(pa.array(held.value.scores(*_views_of(*(b.column(i) for i in at)))[:, 2] >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
