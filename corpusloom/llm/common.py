@@ -112,3 +112,10 @@ def distinct(x: np.ndarray) -> np.ndarray:
     """The different values of ``x``, sorted; by sorting, which is faster than hashing."""
     x = np.sort(x)
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def free_prefix(columns: list[str], base: str = "cl_") -> str:
+    """``base``, longer by as many underscores as it takes to begin none of ``columns``."""
+    while any(c.lower().startswith(base) for c in columns):
+        base += "_"
+    return base

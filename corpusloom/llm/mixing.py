@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize
+from corpusloom.llm.common import free_prefix, materialize
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -122,10 +122,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPI
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPIES, seed: int = 17) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it, columns unchanged."""
-    per = plan(materialize(sized(docs, seed), "mix-sized"), weights, cap).select("p_source", F.col("copies").alias("cl_whole"), F.col("theta").alias("cl_theta"))
-    more = F.shiftright(row_hash(seed), HASH_BITS - BITS * LEVELS) < F.col("cl_theta")
-    copies = F.least(F.col("cl_whole") + F.when(more, 1).otherwise(0), F.lit(cap)).cast("int")
-    out = docs.join(per, docs.source.eqNullSafe(per.p_source)).withColumn("cl_copy", F.explode(F.array_repeat(F.lit(0), copies)))
+    p = free_prefix(docs.columns)
+    per = plan(materialize(sized(docs, seed), "mix-sized"), weights, cap)
+    per = per.select(F.col("p_source").alias(f"{p}source"), F.col("copies").alias(f"{p}whole"), F.col("theta").alias(f"{p}theta"))
+    more = F.shiftright(row_hash(seed), HASH_BITS - BITS * LEVELS) < F.col(f"{p}theta")
+    copies = F.least(F.col(f"{p}whole") + F.when(more, 1).otherwise(0), F.lit(cap)).cast("int")
+    out = docs.join(per, docs.source.eqNullSafe(per[f"{p}source"])).withColumn(f"{p}copy", F.explode(F.array_repeat(F.lit(0), copies)))
     return out.select(*[docs[c] for c in docs.columns])
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import xxhash
 from corpusloom.llm import components as cc
 from corpusloom.llm import decontam, mixing, secrets, sharding, simhash
@@ -100,9 +101,69 @@ def test_fisher_yates_is_uniform():
     assert len(seen) == 6 and min(seen.values()) > 400
 
 
+def chain(*parts, seed=42):
+    """Spark's xxhash64 of several columns: integers as 4 bytes, strings as UTF-8, each seeded by the hash before."""
+    for p in parts:
+        seed = xxhash.xxh64_intdigest(p.to_bytes(4, "little") if isinstance(p, int) else p.encode(), seed)
+    return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+
+def brute_shuffle(data, shards, buckets, seed):
+    """Rows (doc_id, text) with shard, slot and grown shard, rebuilt without Spark."""
+    name = lambda r: "" if r[0] is None else str(r[0])
+    highest = lambda r, n: max((chain(seed, i, name(r)), i) for i in range(n))[1]
+    held = defaultdict(list)
+    for r in data:
+        held[highest(r, shards), chain(seed + 1, name(r), r[1] or "") % buckets].append(r)
+    out = []
+    for s in range(shards):
+        at = 0
+        for b in range(buckets):
+            rs = sorted(held[s, b], key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, (r[1] or "").encode()))
+            draws = np.random.Generator(np.random.PCG64((seed, s, b))).integers(0, np.arange(1, len(rs) + 1)) if rs else []
+            for i in range(len(rs) - 1, 0, -1):
+                rs[i], rs[draws[i]] = rs[draws[i]], rs[i]
+            for r in rs:
+                out.append((*r, s, at, highest(r, shards + 1)))
+                at += 1
+    return out
+
+
+def test_shuffle_rebuilt(spark, docs):
+    data = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    weight = sum(len((t or "").encode()) + 64 for _, t in data)
+    size = 8000
+    buckets = -(-weight // 3 // size)
+    assert buckets > 2
+    got = [(r["doc_id"], r["text"], r["shard"], r["slot"], r["grown_shard"]) for r in rows(sharding.external_shuffle(docs, 3, bucket_bytes=size))]
+    one = lambda x: sorted(x, key=str)
+    # the long texts stand alone, no repeated group is over an eighth of a bucket
+    assert one(got) == one(brute_shuffle(data, 3, buckets, sharding.SEED))
+
+
+def test_repeated_rows_spread(spark):
+    """A third of the rows is one row: it fills no bucket alone, keeps its shard, and gets every slot once."""
+    df = spark.createDataFrame([(i, f"text {i} " * 5, i) for i in range(400)] + [(7, "again " * 9, i) for i in range(200)], "doc_id long, text string, cl_sh_base int").repartition(4)
+    placed, buckets = sharding._placed(df.drop("cl_sh_base"), 2, sharding.SEED, 6000)
+    sizes = Counter((r["cl_sh_shard"], r["cl_sh_bucket"]) for r in rows(placed) if r["doc_id"] == 7)
+    assert buckets > 8 and len(sizes) > 3 and max(sizes.values()) < 100 and len({s for s, _ in sizes}) == 1
+    out = rows(sharding.external_shuffle(df, 2, bucket_bytes=6000))
+    by = defaultdict(list)
+    for r in out:
+        by[r["shard"]].append(r["slot"])
+    assert len(out) == 600 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert sorted(r["cl_sh_base"] for r in out if r["text"].startswith("again")) == list(range(200))
+
+
 def test_write_shards(spark, docs, tmp_path):
-    sharding.write_shards(docs, str(tmp_path / "s"), shards=3)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+    sharding.write_shards(docs, str(tmp_path / "s"), shards=3, bucket_bytes=4000)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == docs.count()
+    want = {(r["shard"], r["slot"]): r["text"] for r in rows(sharding.external_shuffle(docs, 3, bucket_bytes=4000))}
+    for f in (tmp_path / "s").glob("shard=*/*.parquet"):
+        t = pq.read_table(f, partitioning=None)
+        slots, shard = t["slot"].to_pylist(), int(f.parent.name[6:])
+        assert slots == sorted(slots) and [want[shard, s] for s in slots] == t["text"].to_pylist()
 
 
 def brute_contamination(texts, items):
@@ -228,7 +289,7 @@ def test_mixing(spark, docs, no_docs):
     assert all(r["taken"] <= 3 * r["size"] for r in out)
     assert sorted(map(str, out)) == sorted(map(str, rows(mixing.mix(docs.repartition(3)))))
     assert rows(mixing.mix(no_docs)) == []
-    mixed = mixing.apply_mix(docs)
+    mixed = mixing.apply_mix(docs.withColumn("cl_copy", docs.doc_id)).drop("cl_copy")
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in out)
 
 
