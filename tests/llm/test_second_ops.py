@@ -2,10 +2,13 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import xxhash
 from corpusloom.llm import langid, linededup, merkle, quality
 
 
@@ -13,36 +16,121 @@ def rows(df):
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
+def plain_leaves(line):
+    """The leaves of a line of short words by their definition, a word at a time."""
+    leaves, leaf = [], b""
+    for w in re.findall(rb"\S+\s*|\s+", line):
+        if leaf and len(leaf) + len(w) > merkle.LEAF:
+            leaves.append(leaf)
+            leaf = b""
+        leaf += w
+        bare = w.rstrip()
+        if bare and (zlib.crc32(bare) % merkle.CUT == 0 or (w != bare and bare[-1:] in (b".", b"!", b"?"))):
+            leaves.append(leaf)
+            leaf = b""
+    return leaves + [leaf] * bool(leaf)
+
+
+def plain_print(text):
+    """Root and body of the fingerprint, and its paragraphs' leaves, without the operator's tree."""
+    short = lambda x, n=8: hashlib.blake2b(x, digest_size=n).digest()
+    whole, sections, held = b"R", [], []
+    for line in re.findall(rb"[^\n]*\n|[^\n]+\Z", text):
+        leaves = plain_leaves(line)
+        joined = b"".join(short(x) for x in leaves)
+        whole += joined + str(len(line)).encode()
+        held.append(leaves)
+        if not line.strip() or zlib.crc32(joined) % merkle.SECTION == 0:
+            sections.append(held)
+            held = []
+    sections += [held] * bool(held)
+    body = "/".join(".".join(",".join(short(x).hex()[:8] + hex(len(x))[2:] for x in p) for p in s) for s in sections)
+    return short(whole, 16).hex() + "|" + body, sections
+
+
+def plain_likeness(a, b):
+    """Bytes under equal sections, paragraphs and leaves by counting, without hashes."""
+    x, y = plain_print(a)[1], plain_print(b)[1]
+    same, size = 0, lambda n: len(n) if isinstance(n, bytes) else sum(map(size, n))
+    for _ in range(3):
+        rest = list(y)
+        opened = []
+        for n in x:
+            if n in rest:
+                rest.remove(n)
+                same += size(n)
+            else:
+                opened.append(n)
+        x, y = ([c for n in z for c in n] if z and not isinstance(z[0], bytes) else [] for z in (opened, rest))
+    return 1.0 if a == b else 2 * same / (len(a) + len(b)) if a or b else 0.0
+
+
 def test_merkle_order_and_edits(spark, docs, no_docs):
     data = docs.collect()
-    order = sorted(data, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["text"] is not None, (r["text"] or "").encode()))
-    want = []
-    for i, r in enumerate(order):
-        text, following = r["text"] or "", order[(i + 1) % len(order)]["text"] or ""
-        n = len(text) // 3
-        changed = text[: len(text) - n] + following[:n]
-        a, b, c = (merkle.Tree(t.encode()) for t in (text, changed, following))
-        want.append((str(r["doc_id"]), len(text), hashlib.sha256(changed.encode()).hexdigest(), str(a), str(b), merkle.likeness(a, b), merkle.likeness(a, c)))
-    for block in (5, 1000):
-        got = [(str(r["doc_id"]), *list(r.values())[1:]) for r in rows(merkle.fingerprints(docs, block))]
-        assert sorted(got) == sorted(want)
+    own = lambda t: (lambda h: h - (1 << 64) if h >= 1 << 63 else h)(xxhash.xxh64_intdigest((t or "").encode(), 42))
+    for extra in (0, 60):  # the second table has hot doc_ids, null among them
+        more = [(d, f"own text {i} {d}", None, None, 0, 0, "") for i in range(extra) for d in (None, 33)]
+        table = docs.unionByName(spark.createDataFrame(more, docs.schema)) if more else docs
+        every = [(r["doc_id"], r["text"]) for r in data] + [m[:2] for m in more]
+        order = sorted(every, key=lambda r: (r[0] is None, -(r[0] or 0), own(r[1])))
+        want = []
+        for i, (doc, text) in enumerate(order):
+            text, following = text or "", order[(i + 1) % len(order)][1] or ""
+            n = len(text) // 3
+            changed = text[: len(text) - n] + following[:n]
+            a, b, c = (t.encode() for t in (text, changed, following))
+            want.append((str(doc), len(text), hashlib.sha256(b).hexdigest(), plain_print(a)[0], plain_print(b)[0], round(plain_likeness(a, b), 9), round(plain_likeness(a, c), 9)))
+        for block in (5, 1000):
+            got = rows(merkle.fingerprints(table, block))
+            assert sorted((str(r["doc_id"]), *list(r.values())[1:5], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == sorted(want)
+    for r in got:  # likeness and edits follow from the published fingerprints
+        a, b = merkle.Tree.parse(r["fingerprint"]), merkle.Tree.parse(r["edited_fingerprint"])
+        assert str(a) == r["fingerprint"] and merkle.likeness(a, b) == r["near_edited"]
+        assert ";".join(f"{i}-{j}>{k}-{m}" for i, j, k, m in merkle.edits(a, b)) == r["edits"]
     assert rows(merkle.fingerprints(no_docs)) == []
 
 
 def test_tree_round_trip_and_edits():
     r = random.Random(2)
-    text = "\n".join(" ".join(r.choice(["ab", "cd.", "ef!", "longer", "é"]) for _ in range(r.randrange(0, 90))) for _ in range(60)).encode()
-    tree = merkle.Tree(text)
-    assert sum(n for _, n in tree.leaves()) == len(text)
-    pieces = [p for line in merkle._LINE.findall(text) for p in merkle._pieces(line)]
-    assert b"".join(pieces) == text
-    assert merkle.edits(tree, merkle.Tree(text)) == [] and merkle.likeness(tree, merkle.Tree(text)) == 1
-    at = len(text) // 2
-    other = text[:at] + b"#####" + text[at:]
-    found = merkle.edits(tree, merkle.Tree(other))
-    assert found and min(e[0] for e in found) <= at <= max(e[1] for e in found) and sum(e[1] - e[0] for e in found) < len(text) // 4
-    assert 0.7 < merkle.likeness(tree, merkle.Tree(other)) < 1
-    assert merkle.Tree(b"").root != merkle.Tree(b" ").root
+    text = "\n".join(" ".join(r.choice(["ab", "cd.", "ef!", "longer", "é", "w%d" % r.randrange(99)]) for _ in range(r.randrange(0, 90))) for _ in range(60)).encode()
+    of = merkle.Tree.of
+    tree = of(text)
+    assert tree.size == len(text) and b"".join(p for line in merkle.lines(text) for p in merkle.pieces(line)) == text
+    assert merkle.edits(tree, of(text)) == [] and merkle.likeness(tree, of(text)) == 1
+    for at in (0, len(text) // 2, len(text) - 3):
+        other = text[:at] + b"#####" + text[at:]
+        found = merkle.edits(tree, of(other))
+        assert found and min(e[0] for e in found) <= at <= max(e[1] for e in found) and sum(e[1] - e[0] for e in found) < 300
+        for a, b, c, d in reversed(found):  # putting the other text's ranges in gives the other text
+            text2 = text if (a, b, c, d) == found[-1] else text2  # noqa: F821
+            text2 = text2[:a] + other[c:d] + text2[b:]
+        assert text2 == other and 0.9 < merkle.likeness(tree, of(other)) < 1
+    assert of(b"").root != of(b" ").root and str(merkle.Tree.parse(str(of(b"")))) == str(of(b""))
+    short = b"one sentence of a dozen words or so that has no full stop at all"
+    assert merkle.likeness(of(short), of(short[:45] + b"ending in some other way")) > 0.3
+
+
+def test_differing_ranges():
+    r = random.Random(3)
+    for _ in range(300):
+        x = [r.randrange(12) for _ in range(r.randrange(14))]
+        y = [v for v in x if r.random() > 0.2]
+        for _ in range(r.randrange(3)):
+            y.insert(r.randrange(len(y) + 1), r.randrange(12))
+        z, last = list(x), (len(x), len(x), len(y), len(y))
+        for a0, a1, b0, b1 in reversed(merkle.differing(x, y)):
+            assert x[a1 : last[0]] == y[b1 : last[2]]
+            z[a0:a1] = y[b0:b1]
+            last = (a0, a1, b0, b1)
+        assert z == y and x[: last[0]] == y[: last[2]]
+
+
+def test_long_texts_are_linear():
+    t0 = time.perf_counter()
+    for text in (b"." * 5_000_000 + b"a", b"word " * 1_000_000, b"x\n" * 300_000):
+        a, b = merkle.Tree.of(text), merkle.Tree.of(text[: len(text) // 3 * 2] + b"other ends " * 50_000)
+        assert merkle.likeness(a, b) > 0.5 and merkle.edits(a, b)
+    assert time.perf_counter() - t0 < 60
 
 
 def test_language_id(spark, docs, no_docs, sf):
