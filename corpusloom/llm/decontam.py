@@ -1,12 +1,15 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is partitioned by document: a block (an Arrow batch of documents)
-becomes one stored row that holds, for each query-vocabulary term, the sorted
-positions at which it occurs.  Positions run over the whole block with a gap
-between documents, so phrases never cross them.  Document frequencies are
-summed over all blocks; then each block's posting lists are intersected, offset
+becomes one stored row that holds, for every term of its texts, the sorted
+positions at which it occurs.  It does not depend on the benchmark, so it serves
+any number of searches.  A search sums document frequencies of the benchmark's
+terms over all blocks; then each block's posting lists are intersected, offset
 by their place in the window, from the window's rarest term on.  No exchange
 carries text or postings, so neither hot terms nor groups of copies skew it.
+
+Terms are 64-bit hashes of words.  The benchmark's words are hashed on the
+executors; its terms and their frequencies go to the tasks in blocks of items.
 """
 
 from __future__ import annotations
@@ -18,189 +21,262 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_batches, materialize
+from corpusloom.llm.common import arrow_batches, discard, distinct, free_prefix, materialize
+from corpusloom.llm.words import CHUNK, word_hashes
 
-WINDOW, GAP, SHIFT = 10, 64, 36
-#: Benchmark text that is held in a task at once; a larger benchmark goes in blocks of items.
-ITEM_BYTES = 32 << 20
+WINDOW, SHIFT, NEAR = 10, 36, 2
+#: A search's plan that is broadcast at once, 16 bytes for each benchmark word; a larger benchmark goes in blocks of items.
+PLAN_BYTES = 8 << 20
+#: Postings that are expanded at once in a block's intersection.
+EXPAND = 1 << 20
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
-INDEX = "doc_id array<bigint>, rid array<bigint>, text_key array<bigint>, start array<int>, n_words array<int>, terms array<int>, counts array<int>, positions array<int>"
+INDEX = "doc_id array<bigint>, rid array<bigint>, text_key array<bigint>, start array<int>, n_words array<int>, terms array<bigint>, counts array<int>, positions array<int>"
 HITS = "doc_id bigint, rid bigint, text_key bigint, n_words bigint, spans array<struct<a:int,b:int>>, items array<string>"
 
 
-def words(text: bytes | None) -> list[bytes]:
-    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased, as UTF-8."""
-    return (text or b"").translate(_FOLD).split()
-
-
-def windows_of(items: list[tuple[str, bytes | None]], width: int = WINDOW):
-    """vocabulary {word: term}, windows {tuple of terms: item indexes}, item ids."""
-    vocabulary: dict[bytes, int] = {}
-    windows: dict[tuple[int, ...], set[int]] = {}
-    ids = [i for i, _ in items]
-    for k, (_, text) in enumerate(items):
-        terms = [vocabulary.setdefault(w, len(vocabulary)) for w in words(text)]
-        for i in range(max(1, len(terms) - width + 1) if terms else 0):
-            windows.setdefault(tuple(terms[i : i + width]), set()).add(k)
-    return vocabulary, windows, ids
+def terms_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each text has, and the terms of all words in turn.
 
-
-def indexer(vocabulary):
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary.value.get
-        for b in batches:
-            if not b.num_rows:
-                continue
-            starts, sizes, terms, places, at = [], [], [], [], GAP
-            for text in b.column(3).cast(pa.binary()).to_pylist():
-                found = words(text)
-                ids = np.array([get(w, -1) for w in found], dtype=np.int64)
-                held = np.flatnonzero(ids >= 0)
-                terms.append(ids[held])
-                places.append(held + at)
-                starts.append(at)
-                sizes.append(len(found))
-                at += len(found) + GAP
-            keys = np.sort((np.concatenate(terms) << SHIFT) | np.concatenate(places))
-            own, counts = np.unique(keys >> SHIFT, return_counts=True)
-            lists = [b.column(0), b.column(1), b.column(2), starts, sizes, own, counts, keys & ((1 << SHIFT) - 1)]
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 5
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v, k)) for v, k in zip(lists, kinds, strict=True)], names=INDEX.replace(" array<bigint>", "").replace(" array<int>", "").split(", "))
-
-    return index
-
-
-def plan_windows(windows: dict[tuple[int, ...], set[int]], df: dict[int, int], width: int = WINDOW):
-    """terms and offsets of each window, rarest term first (-1 pads short ones), and its items as CSR."""
-    terms, offsets = np.full((len(windows), width), -1, np.int64), np.zeros((len(windows), width), np.int64)
-    lengths, owners = np.zeros(len(windows), np.int64), []
-    for k, (w, items) in enumerate(windows.items()):
-        order = sorted(range(len(w)), key=lambda j: (df.get(w[j], 0), j))
-        terms[k, : len(w)], offsets[k, : len(w)], lengths[k] = [w[j] for j in order], order, len(w)
-        owners.append(sorted(items))
-    ends = np.cumsum([0, *map(len, owners)])
-    return terms, offsets, lengths, ends, np.array([i for o in owners for i in o], np.int64)
-
-
-def intersect(keys: np.ndarray, terms: np.ndarray, offsets: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of each match in sorted postings ``term << SHIFT | position``.
-
-    Term j must stand at start + offset, or up to ``slop`` places from it.
+    Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z lower-cased.  Texts go in chunks, long ones in parts that end between words.
     """
-    low = np.searchsorted(keys, terms[:, 0] << SHIFT)
-    n = np.searchsorted(keys, (terms[:, 0] + 1) << SHIFT) - low
-    window = np.repeat(np.arange(len(terms)), n)
-    at = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    start = (keys[at] & ((1 << SHIFT) - 1)) - offsets[window, 0]
-    for j in range(1, terms.shape[1]):
-        if not len(window):
-            break
-        want = (terms[window, j] << SHIFT) | (start + offsets[window, j])
-        ok = np.searchsorted(keys, want - slop) < np.searchsorted(keys, want + slop, side="right")
-        ok |= terms[window, j] < 0
-        window, start = window[ok], start[ok]
-    return window, start
-
-
-def searcher(plan, slop: int):
+    counts, found, at, held, size = np.zeros(len(texts), np.int64), [], [], [], 0
+
+    def take() -> None:
+        data = np.frombuffer(b"".join(held), np.uint8)
+        _, _, own, h = word_hashes(data, data != 32, np.concatenate([[0], np.cumsum([len(p) for p in held])]))
+        np.add.at(counts, np.array(at)[own], 1)
+        found.append(h.view(np.int64))
+
+    for i, t in enumerate(texts):
+        t, start = (t or b"").translate(_FOLD), 0
+        while start < len(t):
+            end = min(len(t), start + CHUNK)
+            if end < len(t):
+                space = t.rfind(b" ", start, end)
+                end = space if space > start else t.find(b" ", end)
+                end = len(t) if end < 0 else end
+            if held and size + end - start > CHUNK:
+                take()
+                at, held, size = [], [], 0
+            at.append(i)
+            held.append(t[start:end])
+            size += end - start
+            start = end
+    if held:
+        take()
+    return counts, np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sizes, terms = terms_of(b.column(3).cast(pa.binary()).to_pylist())
+        order = np.argsort(terms, kind="stable")
+        terms = terms[order]
+        first = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.zeros(0, np.int64)
+        lists = [b.column(0), b.column(1), b.column(2), np.cumsum(sizes) - sizes, sizes, terms[first], np.diff(first, append=len(terms)), order]
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] + [pa.int32()] * 2
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v, k)) for v, k in zip(lists, kinds, strict=True)], names=[f.split()[0] for f in INDEX.split(", ")])
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """Positional postings of all terms of ``docs`` (doc_id, text), stored in the shared folder; ``discard`` it after the last search."""
+    arrow_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("rid"), F.xxhash64("text").alias("text_key"), "text")
+    return materialize(rows.mapInArrow(_index, INDEX), "postings")
+
+
+class Plan:
+    """The windows of a block of items: ``terms`` and their ``df`` word by word, ``ends`` of the items, ``ids`` of the items."""
+
+    def __init__(self, ids: list[str], items: list[np.ndarray], df: dict[int, int]):
+        self.ids, self.terms = ids, np.concatenate([*items, np.zeros(0, np.int64)])
+        self.df = np.array([df.get(t, 0) for t in self.terms.tolist()], np.int64)
+        self.ends = np.cumsum([0, *map(len, items)])
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, length and item of each window."""
+        sizes = np.diff(self.ends)
+        n = np.where(sizes > 0, np.maximum(1, sizes - width + 1), 0)
+        item = np.repeat(np.arange(len(sizes)), n)
+        return np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n) + self.ends[:-1][item], np.minimum(sizes, width)[item], item
+
+    def ordered(self, first: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
+        """Offsets of each window's terms, rarest first; -1 pads short windows."""
+        at = np.arange(width)
+        df = np.where(at < length[:, None], self.df[np.minimum(first[:, None] + at, len(self.df) - 1)], np.iinfo(np.int64).max)
+        order = np.argsort(df, axis=1, kind="stable")
+        return np.where(at < length[:, None], order, -1)
+
+
+def intersect(own: np.ndarray, counts: np.ndarray, places: np.ndarray, start: np.ndarray, size: np.ndarray, terms: np.ndarray, first: np.ndarray, order: np.ndarray, slop: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(window, text, start in the block) of the matches in one block's postings, some windows at a time.
+
+    ``own``, ``counts`` and ``places`` are the block's terms and positions,
+    ``start`` and ``size`` its texts.  A match has the window's rarest term in
+    its place, and every other at its offset from there or up to ``slop`` places
+    off, within the text.
+    """
+    low = np.cumsum(counts) - counts
+    keys = (np.repeat(np.arange(len(own)), counts) << SHIFT) | places
+
+    def local(t: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(own, t), len(own) - 1)
+        return np.where(own[at] == t, at, -1)
+
+    rarest = local(terms[first + order[:, 0]])
+    windows = np.flatnonzero(rarest >= 0)
+    n = counts[rarest[windows]]
+    for part in np.split(windows, np.flatnonzero(np.diff(np.cumsum(n) // EXPAND)) + 1):
+        k = rarest[part]
+        m = counts[k]
+        window = np.repeat(part, m)
+        at = places[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[k], m)]
+        text = np.searchsorted(start, at, side="right") - 1
+        begin = at - order[window, 0]
+        a, z = start[text], start[text] + size[text]
+        for j in range(1, order.shape[1]):
+            if not len(window):
+                break
+            off = order[window, j]
+            t = local(terms[first[window] + np.maximum(off, 0)])
+            want = begin + off
+            lo, hi = np.maximum(want - slop, a), np.minimum(want + slop, z - 1)
+            ok = (t >= 0) & (lo <= hi)
+            ok &= np.searchsorted(keys, (t << SHIFT) | np.maximum(lo, 0)) < np.searchsorted(keys, (t << SHIFT) | np.maximum(hi, 0), side="right")
+            ok |= off < 0
+            window, begin, text, a, z = window[ok], begin[ok], text[ok], a[ok], z[ok]
+        yield window, text, begin
+
+
+def _searcher(plan, slop: int, width: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (terms, offsets, lengths, ends, owners), ids = plan.value
+        p = plan.value
+        first, length, item = p.windows(width)
+        order = p.ordered(first, length, width) if len(first) else np.zeros((0, width), np.int64)
         for b in batches:
             for row in range(b.num_rows):
                 doc, rid, key, start, size, own, counts, places = (b.column(i)[row].values for i in range(8))
-                start, size = start.to_numpy().astype(np.int64), size.to_numpy().astype(np.int64)
-                keys = (np.repeat(own.to_numpy().astype(np.int64), counts.to_numpy()) << SHIFT) | places.to_numpy().astype(np.int64)
-                window, at = intersect(keys, terms, offsets, slop) if len(terms) and len(keys) else (np.zeros(0, np.int64),) * 2
-                home = np.searchsorted(start, at + slop, side="right") - 1
-                # words under any match; with slop the span reaches slop places further, within the document
-                first, last = np.maximum(at - slop, start[home]), np.minimum(at + lengths[window] + slop, start[home] + size[home])
-                edge = np.zeros(int(start[-1] + size[-1]) + 2, np.int64)
-                np.add.at(edge, first, 1)
-                np.add.at(edge, last, -1)
-                covered = np.diff((np.cumsum(edge) > 0).astype(np.int8), prepend=0)
-                a, z = np.flatnonzero(covered == 1), np.flatnonzero(covered == -1)
-                in_doc = np.searchsorted(start, a, side="right") - 1
-                pairs = np.unique(home * max(1, len(terms)) + window)
-                home, window = pairs // max(1, len(terms)), pairs % max(1, len(terms))
-                items: list[set[str]] = [set() for _ in range(len(start))]
-                for d, w in zip(home.tolist(), window.tolist(), strict=True):
-                    items[d].update(ids[i] for i in owners[ends[w] : ends[w + 1]])
-                cuts = np.searchsorted(in_doc, np.arange(len(start) + 1))
-                spans = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(a - start[in_doc], pa.int32()), pa.array(z - start[in_doc], pa.int32())], names=["a", "b"]))
-                yield pa.RecordBatch.from_arrays([doc, rid, key, pa.array(size, pa.int64()), spans, pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["doc_id", "rid", "text_key", "n_words", "spans", "items"])
+                start, size, own, counts, places = (x.to_numpy().astype(np.int64) for x in (start, size, own, counts, places))
+                found = list(intersect(own, counts, places, start, size, p.terms, first, order, slop)) if len(own) and len(first) else []
+                window, text, begin = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(3))
+                # words under any match; with slop the span reaches slop places further, within the text
+                edge = np.zeros(int(size.sum()) + 2, np.int64)
+                np.add.at(edge, np.maximum(begin - slop, start[text]), 1)
+                np.add.at(edge, np.minimum(begin + length[window] + slop, start[text] + size[text]), -1)
+                depth = np.cumsum(edge) > 0
+                cut = np.zeros(len(depth) + 1, bool)
+                cut[start] = True  # a span ends with its text
+                flip = np.diff(depth.astype(np.int8), prepend=0)
+                a = np.flatnonzero((flip == 1) | (depth & cut[:-1]))
+                z = np.flatnonzero((flip == -1) | (depth & cut[:-1] & np.concatenate([[False], depth[:-1]])))
+                in_text = np.searchsorted(start, a, side="right") - 1
+                pairs = distinct(text * max(1, len(p.ids)) + item[window])
+                items: list[list[str]] = [[] for _ in range(len(start))]
+                for d, i in zip((pairs // max(1, len(p.ids))).tolist(), (pairs % max(1, len(p.ids))).tolist(), strict=True):
+                    items[d].append(p.ids[i])
+                cuts = np.searchsorted(in_text, np.arange(len(start) + 1))
+                spans = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(a - start[in_text], pa.int32()), pa.array(z - start[in_text], pa.int32())], names=["a", "b"]))
+                yield pa.RecordBatch.from_arrays([doc, rid, key, pa.array(size, pa.int64()), spans, pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))], names=["doc_id", "rid", "text_key", "n_words", "spans", "items"])
 
     return search
 
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """Positional postings of the vocabulary's terms in ``docs`` (doc_id, rid, text), stored in the shared folder."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    return materialize(docs.select("doc_id", "rid", F.xxhash64("text").alias("text_key"), "text").mapInArrow(indexer(spark.sparkContext.broadcast(vocabulary)), INDEX), "postings")
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sizes, terms = terms_of(b.column(1).cast(pa.binary()).to_pylist())
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(terms))], names=["item", "terms"])
 
 
-def _search(docs: DataFrame, items: list[tuple[str, bytes | None]], slop: int) -> DataFrame:
-    spark = docs.sparkSession
-    vocabulary, windows, ids = windows_of(items)
-    index = build_index(docs, vocabulary)
-    # one row a vocabulary term, which ITEM_BYTES bounds
-    df = dict(index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy("t.terms").agg(F.sum("t.counts")).collect())
-    plan = spark.sparkContext.broadcast((plan_windows(windows, df), ids))
-    return index.mapInArrow(searcher(plan, slop), HITS)
+def _plans(items: DataFrame, stats: DataFrame, most: int) -> Iterator[Plan]:
+    """Plans of blocks of items, of ``most`` bytes or one item."""
+    spark, held, size = items.sparkSession, [], 0
 
+    def made() -> Plan:
+        terms = distinct(np.concatenate([*(t for _, t in held), np.zeros(0, np.int64)]))
+        mine = F.broadcast(spark.createDataFrame(pa.table({"term": terms})))
+        df = dict(stats.join(mine, "term").select("term", "df").collect())  # at most one row for each of the block's words
+        return Plan([i for i, _ in held], [t for _, t in held], df)
 
-def item_blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, bytes | None]]]:
-    block, held = [], 0
-    for item, text in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.col("text").cast("binary")).toLocalIterator():
-        if block and held + len(text or b"") > most:
-            yield block
-            block, held = [], 0
-        block.append((item, bytes(text) if text is not None else None))
-        held += len(text or b"")
-    yield block
+    for r in items.toLocalIterator():
+        t = np.array(r["terms"], np.int64)
+        if held and size + 16 * len(t) > most:
+            yield made()
+            held, size = [], 0
+        held.append((r["item"], t))
+        size += 16 * len(t)
+    yield made()
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, slop: int = 0, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """Phrase (``slop`` 0) or proximity matches of benchmark windows in each row of ``docs``.
+def search(index: DataFrame, benchmark: DataFrame, slop: int = 0, plan_bytes: int = PLAN_BYTES, width: int = WINDOW) -> DataFrame:
+    """Matches of the benchmark's windows in every text of ``index``: doc_id, rid, text_key, n_words, spans, items.
 
-    Returns doc_id, text_key (a hash of the text), n_words, spans (word ranges under matches, merged, end
-    exclusive) and items (ids of the matching items).  A benchmark of over
-    ``item_bytes`` is searched in blocks of items, and the blocks' spans are
-    merged by row.  Null or empty texts have no words and no matches; an item
-    of null or no words matches nothing; a null item_id reads "null"; repeated
-    rows each get their result; other columns are not read.
+    A benchmark whose plan is over ``plan_bytes`` is searched in blocks of items
+    over the same index, and the blocks' spans are merged by row.
     """
-    blocks = item_blocks(benchmark, item_bytes)
-    first, second = next(blocks), next(blocks, None)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    if second is None:
-        return _search(docs.withColumn("rid", F.lit(0).cast("long")), first, slop).drop("rid")
-    docs = materialize(docs.withColumn("rid", F.monotonically_increasing_id()), "numbered")
-    parts = [_search(docs, first, slop)]
-    while second is not None:
-        parts.append(_search(docs, second, slop))
-        second = next(blocks, None)
-    parts = [materialize(p, "block-hits") for p in parts]
-    all_parts = parts[0]
+    spark = index.sparkSession
+    arrow_batches(spark)
+    items = materialize(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").mapInArrow(_item_terms, "item string, terms array<bigint>"), "benchmark-terms")
+    own = items.select(F.explode("terms").alias("term")).distinct()
+    stats = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("t.terms", "t.counts")
+    stats = materialize(stats.join(own, stats.terms == own.term, "left_semi").groupBy(F.col("terms").alias("term")).agg(F.sum("counts").alias("df")), "benchmark-frequencies")
+    parts = [index.mapInArrow(_searcher(spark.sparkContext.broadcast(p), slop, width), HITS) for p in _plans(items, stats, plan_bytes)]
+    if len(parts) == 1:
+        return parts[0]
+    every = materialize(parts[0], "block-hits")
     for p in parts[1:]:
-        all_parts = all_parts.unionByName(p)
+        every = every.unionByName(materialize(p.where(F.size("items") > 0), "block-hits"))
+    last = lambda done: F.try_element_at(done, F.lit(-1))
     merged = F.aggregate(
         F.array_sort(F.flatten(F.collect_list("spans"))),
         F.array().cast("array<struct<a:int,b:int>>"),
-        lambda done, s: F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["b"] >= s["a"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(done, F.lit(-1))["a"].alias("a"), F.greatest(F.try_element_at(done, F.lit(-1))["b"], s["b"]).alias("b"))))).otherwise(F.concat(done, F.array(s))),
+        lambda done, s: F.when((F.size(done) > 0) & (last(done)["b"] >= s["a"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last(done)["a"].alias("a"), F.greatest(last(done)["b"], s["b"]).alias("b"))))).otherwise(F.concat(done, F.array(s))),
     )
-    return all_parts.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("n_words").alias("n_words"), merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("rid")
+    first = lambda c: F.first(c).alias(c)
+    return every.groupBy("rid").agg(first("doc_id"), first("text_key"), first("n_words"), merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, slop: int = 0, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """``matches`` with n_hit, n_items, items_sha256 and contaminated beside its columns."""
-    m = matches(docs, benchmark, slop, item_bytes)
+def matches(docs: DataFrame, benchmark: DataFrame, slop: int = 0, plan_bytes: int = PLAN_BYTES) -> DataFrame:
+    """Phrase (``slop`` 0) or proximity matches of benchmark windows in each row of ``docs``.
+
+    Returns doc_id, text_key (a hash of the text), n_words, spans (word ranges
+    under matches, merged, end exclusive) and items (ids of the matching items).
+    Null or empty texts have no words and no matches; an item of null or no
+    words matches nothing; items of one id count once, and a null item_id reads
+    "null"; repeated rows each get their result; other columns are not read; an
+    empty table gives an empty result.
+    """
+    return search(build_index(docs.select("doc_id", "text")), benchmark, slop, plan_bytes).drop("rid")
+
+
+def counted(m: DataFrame) -> DataFrame:
+    """n_hit, n_items, items_sha256 and contaminated beside the columns of ``m``."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["b"] - s["a"]))
-    return m.withColumns({"n_hit": hit, "n_items": F.size(F.array_distinct("items")).cast("long"), "items_sha256": F.sha2(F.array_join(F.array_sort(F.array_distinct("items")), ","), 256), "contaminated": hit > 0})
+    return m.withColumns({"n_hit": hit, "n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join(F.array_sort("items"), ","), 256), "contaminated": hit > 0})
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, slop: int = 0, plan_bytes: int = PLAN_BYTES, near: int | None = None) -> DataFrame:
+    """``matches`` with the columns of ``counted``.
+
+    With ``near``, the same index is searched again for proximity matches with
+    that slop, and n_near is the number of items that match so.
+    """
+    index = build_index(docs.select("doc_id", "text"))
+    out = counted(search(index, benchmark, slop, plan_bytes))
+    if near is None:
+        return out.drop("rid")
+    close = search(index, benchmark, near, plan_bytes).where(F.size("items") > 0)
+    close = materialize(close.select(F.col("rid").alias("n_rid"), F.size("items").cast("long").alias("n_near")), "near-hits")
+    return out.join(close, F.col("rid") == F.col("n_rid"), "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long"))).drop("rid", "n_rid")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, slop: int = 0, item_bytes: int = ITEM_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, slop: int = 0, plan_bytes: int = PLAN_BYTES) -> DataFrame:
     """The rows of ``docs`` that no benchmark window occurs in, columns unchanged."""
-    hit = matches(docs, benchmark, slop, item_bytes).where(F.size("spans") > 0)
-    hit = materialize(hit.select(F.col("doc_id").alias("cl_hit"), "text_key").distinct(), "contaminated")
-    return docs.join(hit, docs.doc_id.cast("long").eqNullSafe(hit.cl_hit) & (F.xxhash64(docs.text) == hit.text_key), "left_anti")
+    p = free_prefix(docs.columns)
+    index = build_index(docs.select("doc_id", "text"))
+    hit = search(index, benchmark, slop, plan_bytes).where(F.size("items") > 0)
+    hit = materialize(hit.select(F.col("doc_id").alias(f"{p}hit"), F.col("text_key").alias(f"{p}text")).distinct(), "contaminated")
+    discard(index)
+    return docs.join(hit, docs.doc_id.cast("long").eqNullSafe(hit[f"{p}hit"]) & (F.xxhash64(docs.text) == hit[f"{p}text"]), "left_anti")

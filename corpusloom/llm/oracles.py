@@ -70,8 +70,18 @@ l AS (SELECT DISTINCT n FROM q),
 g AS (SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, l WHERE len(w) >= n)),
 m AS (SELECT DISTINCT r, k, n, item_id FROM g JOIN q USING (n, g)),
 hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM m) GROUP BY r),
-item AS (SELECT r, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM m) GROUP BY r)
+item AS (SELECT r, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS items FROM (SELECT DISTINCT r, coalesce(item_id::VARCHAR, 'null') AS id FROM m) GROUP BY r)
+-- proximity: the window's rarest term (in words of all documents; the earlier on ties) in place, every other within 2 places of its own
+t AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS w FROM d WHERE len(w) > 0),
+f AS (SELECT w, count(*) AS df FROM t GROUP BY w),
+v AS (SELECT item_id, k, o, n, x.w, coalesce(df, 0) AS df FROM (
+        SELECT item_id, k, n, unnest(range(n)) AS o, unnest(u) AS w FROM (
+          SELECT item_id, k, least(len(w), 10) AS n, w[k:k + least(len(w), 10) - 1] AS u FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0))) x LEFT JOIN f ON f.w = x.w),
+a AS (SELECT item_id, k, n, min_by(o, df * 100 + o) AS o, min_by(w, df * 100 + o) AS w FROM v GROUP BY item_id, k, n),
+c AS (SELECT item_id, k, n, r, p - o AS s FROM a JOIN t ON t.w = a.w),
+e AS (SELECT DISTINCT c.item_id, c.k, c.n, c.r, c.s, v.o FROM c JOIN v ON v.item_id IS NOT DISTINCT FROM c.item_id AND v.k = c.k JOIN t ON t.r = c.r AND t.w = v.w AND t.p BETWEEN c.s + v.o - 2 AND c.s + v.o + 2),
+near AS (SELECT r, count(DISTINCT id) AS n_near FROM (SELECT r, coalesce(item_id::VARCHAR, 'null') AS id FROM e GROUP BY item_id, k, n, r, s HAVING count(*) = n) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       coalesce(items, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN item USING (r)
+       coalesce(items, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit USING (r) LEFT JOIN item USING (r) LEFT JOIN near USING (r)
 """

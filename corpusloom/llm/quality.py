@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import arrow_batches, distinct, materialize
+from corpusloom.llm.words import CHUNK, M, mix, word_hashes
 
 SAMPLE, ROUNDS, GROW, SURE = 4000, 2, 200, 0.9
 WORDS, ENDS, META = 1024, 256, 64
@@ -38,23 +39,11 @@ SHAPE = META + 5
 #: Shares of upper-case, lower-case, digit, space and other bytes are drawn towards these by so many bytes.
 USUAL, DRAW = np.array([0.02, 0.8, 0.0, 0.16, 0.02]), 60
 #: Texts are looked at in parts of so many bytes, cut at white space; distinct words count by part.
-PART, CHUNK = 1 << 20, 1 << 21
+PART = 1 << 20
 _CLASS = np.zeros(256, np.uint8)
 for _i in range(256):
     _c = bytes([_i])
     _CLASS[_i] = 0 if _c.isupper() else 1 if _c.islower() or _i >= 128 else 2 if _c.isdigit() else 3 if _c.isspace() else 4
-_M, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
-
-
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
-
-
-_UP, _DOWN = _powers(PART + CHUNK, _M), _powers(PART + CHUNK, pow(_M, -1, 1 << 64))
-
-
 def _parts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """Texts cut into parts, in groups of about ``CHUNK`` bytes: the number of each part's text, and the parts."""
     at, held, size = [], [], 0
@@ -95,28 +84,16 @@ def content(texts: list[bytes]) -> np.ndarray:
     for at, parts in _parts(texts):
         data = np.frombuffer(b"".join(parts), np.uint8)
         edge = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        inside = _CLASS[data] != 3
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        first[edge[:-1]] = inside[edge[:-1]]
-        last = inside.copy()
-        last[:-1] &= ~inside[1:]
-        last[edge[1:] - 1] = inside[edge[1:] - 1]
-        a, z = np.flatnonzero(first), np.flatnonzero(last)
+        a, z, own, h = word_hashes(data, _CLASS[data] != 3, edge)
         if not len(a):
             continue
-        own = np.searchsorted(edge, a, side="right") - 1
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * _UP[: len(data)])])
-        h = (run[z + 1] - run[a]) * _DOWN[a]
-        h = (h ^ (h >> np.uint64(32))) * _MIX
-        h ^= h >> np.uint64(29)
         tail = data[z].astype(np.int64) * 7 + np.where(z > a, data[z - 1].astype(np.int64) * 61, 0)
         doc = at[own]
         np.add(words, np.bincount(doc * WORDS + (h % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS), out=words)
         np.add(ends, np.bincount(doc * ENDS + tail % ENDS, minlength=n * ENDS).reshape(n, ENDS), out=ends)
         same = own[1:] == own[:-1]
-        pair = (h[:-1] * _MIX + h[1:])[same]
-        for k, x in enumerate((np.bincount(own, minlength=len(parts)), _distinct(own, h, len(parts)), np.bincount(own[1:][same], minlength=len(parts)), _distinct(own[1:][same], pair * _MIX, len(parts)))):
+        pair = mix(h[:-1] * np.uint64(M) + h[1:])[same]
+        for k, x in enumerate((np.bincount(own, minlength=len(parts)), _distinct(own, h, len(parts)), np.bincount(own[1:][same], minlength=len(parts)), _distinct(own[1:][same], pair, len(parts)))):
             np.add.at(rest[:, k], at, x)
     x = np.zeros((n, CONTENT), np.float32)
     for i, counts in ((0, words), (WORDS, ends)):

@@ -187,8 +187,8 @@ def test_decontam(spark, docs, no_docs):
     items = [(0, " ".join(texts[12].split()[2:16]).upper()), (1, "the OF"), (2, None), (3, ""), (10, texts[8][300:700]), (4, "rest x1 rest x1 beta"), (1, "the OF"), (5, "zebra " + (texts[13] or ""))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute_contamination(texts, items)
-    for limit in (decontam.ITEM_BYTES, 200):
-        got = [(r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows(decontam.contamination(docs, bench, item_bytes=limit))]
+    for limit in (decontam.PLAN_BYTES, 200):
+        got = [(r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows(decontam.contamination(docs, bench, plan_bytes=limit))]
         assert sorted(got) == sorted(want)
     kept = rows(decontam.clean(docs, bench))
     assert sorted(str(r["text"]) for r in kept) == sorted(str(t) for t, w in zip(texts, want) if not w[4])
@@ -203,6 +203,54 @@ def test_proximity(spark):
     assert hits(0) == {2} and hits(1) == {1, 2} and hits(3) == {1, 2, 3}
 
 
+def brute_proximity(texts, items, slop, width=10):
+    """Items that match each text, by trying every place of each window's rarest term."""
+    tok = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    docs = [tok(t) for t in texts]
+    df = Counter(w for d in docs for w in d)
+    out = []
+    for d in docs:
+        at = defaultdict(list)
+        for i, w in enumerate(d):
+            at[w].append(i)
+        ids = set()
+        for item, text in items:
+            q = tok(text)
+            for k in range(max(1, len(q) - width + 1) if q else 0):
+                win = q[k : k + width]
+                o = min(range(len(win)), key=lambda j: (df[win[j]], j))
+                if any(all(j == o or any(abs(p - (s - o + j)) <= slop for p in at[win[j]]) for j in range(len(win))) for s in at[win[o]]):
+                    ids.add(str(item))
+        out.append(sorted(ids))
+    return out
+
+
+def test_proximity_against_brute_force(spark):
+    r = np.random.default_rng(6)
+    pool = [f"w{i}" for i in range(9)]
+    text = lambda n: " ".join(pool[i] for i in r.integers(0, 9, n))
+    texts = ["a b", "c d", "", None, *(text(n) for n in (3, 30, 90, 200, 12, 12))]
+    items = [(1, "a b c d"), (2, text(14)), (3, texts[7][30:120]), (4, text(3)), (5, texts[6][:60].replace("w3", "w4")), (6, "none of these"), (None, "b"), (7, text(11))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    index = decontam.build_index(df)
+    for slop in (0, 1, 2, 64, 100):
+        got = {r["doc_id"]: r["items"] for r in rows(decontam.search(index, bench, slop))}
+        assert [got[i] for i in range(len(texts))] == brute_proximity(texts, [(i if i is not None else "null", t) for i, t in items], slop), slop
+    near = {r["doc_id"]: r["n_near"] for r in rows(decontam.contamination(df, bench, near=2))}
+    assert [near[i] for i in range(len(texts))] == [len(x) for x in brute_proximity(texts, items, 2)]
+
+
+def test_terms_of_long_and_odd_texts(monkeypatch):
+    tok = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower() if t.isascii() else t)
+    texts = ["", "a", " a  bb ", "x" * 50, "é naïve Ü", "a-b_c9" * 30, "one two three " * 20 + "y" * 90, " ", "ab ba aa bb aab baa abb"]
+    monkeypatch.setattr(decontam, "CHUNK", 40)
+    sizes, terms = decontam.terms_of([t.encode() for t in texts] + [None])
+    words = [w for t in texts for w in tok(t)]
+    assert sizes.tolist() == [len(tok(t)) for t in texts] + [0] and len(terms) == len(words)
+    assert len(set(terms.tolist())) == len(set(words)) and dict(zip(words, terms.tolist())) == dict(zip(reversed(words), reversed(terms.tolist())))
+
+
 def brute_print(text, k=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not w:
