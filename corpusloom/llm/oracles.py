@@ -70,7 +70,7 @@ l AS (SELECT DISTINCT n FROM q),
 g AS (SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, l WHERE len(w) >= n)),
 m AS (SELECT DISTINCT r, k, n, item_id FROM g JOIN q USING (n, g)),
 hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM m) GROUP BY r),
-item AS (SELECT r, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS items FROM (SELECT DISTINCT r, coalesce(item_id::VARCHAR, 'null') AS id FROM m) GROUP BY r)
+item AS (SELECT r, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS items FROM (SELECT DISTINCT r, coalesce(item_id::VARCHAR, 'null') AS id FROM m) GROUP BY r),
 -- proximity: the window's rarest term (in words of all documents; the earlier on ties) in place, every other within 2 places of its own
 t AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS w FROM d WHERE len(w) > 0),
 f AS (SELECT w, count(*) AS df FROM t GROUP BY w),
