@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_batches
+from corpusloom.llm.common import arrow_batches, distinct
 
 DIMS, SEED, GROUP, CHUNK = 1024, 7, 128, 4096
+#: Characters that are looked at together.
+PART = 1 << 20
 #: Prototypes go to the tasks by broadcast: DIMS * 8 bytes each.
 MAX_LANGUAGES = 4096
 UNKNOWN = "und"
@@ -44,7 +46,24 @@ def _letter(code: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def grams(text: str) -> np.ndarray:
-    """Letter trigrams with runs of other characters as one space, packed in 63 bits; a space is no middle letter."""
+    """Letter trigrams with runs of other characters as one space, packed in 63 bits; a space is no middle letter.
+
+    A long text goes in parts that end with a space, which changes no trigram.
+    """
+    if len(text) <= PART:
+        return _grams(text)
+    out, i = [], 0
+    while i < len(text):
+        j = i + PART
+        if j < len(text):
+            space = text.rfind(" ", i, j)
+            j = space + 1 if space >= 0 else j
+        out.append(_grams(text[i:j]))
+        i = j
+    return np.concatenate(out)
+
+
+def _grams(text: str) -> np.ndarray:
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     codes = np.concatenate([[0], np.where(_letters()[codes], codes, 0), [0]])
     keep = np.ones(len(codes), bool)
@@ -100,7 +119,7 @@ def score(texts: list[str | None], langs: list[str], unit: np.ndarray) -> list[t
     out: list[tuple[str, float]] = []
     for i in range(0, len(texts), GROUP):
         docs = [grams(t or "") for t in texts[i : i + GROUP]]
-        every = np.unique(np.concatenate(docs))
+        every = distinct(np.concatenate(docs))
         vecs = np.zeros((len(docs), DIMS), np.float32)
         for j in range(0, len(every), CHUNK):
             part = every[j : j + CHUNK]

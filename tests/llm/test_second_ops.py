@@ -163,6 +163,14 @@ def test_bundles_add_up():
     assert abs(cosine - 1) < 1e-5 and proto
 
 
+def test_grams_in_parts(monkeypatch):
+    r = random.Random(7)
+    texts = [" ".join("".join(r.choice("abÉßσΣ日1-") for _ in range(r.randrange(1, 12))) for _ in range(80)) for _ in range(20)] + ["  a   b ", " " * 50]
+    whole = [langid.grams(t).tolist() for t in texts]
+    monkeypatch.setattr(langid, "PART", 30)
+    assert [langid.grams(t).tolist() for t in texts] == whole
+
+
 def brute_lines(data, least):
     sites = defaultdict(set)
     for r in data:
