@@ -38,6 +38,8 @@ RULES: dict[str, tuple[str, int, int]] = {
     "forge": (r"gh[opsur]_[A-Za-z0-9]+", 0, 24),
     "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
 }
+#: What a text must hold for a rule to find anything.
+NEEDLES = {"access": "AKIA", "jwt": "eyJ", "pem": "-----BEGIN "}
 BASE = ("assign", "access", "hex")
 #: Up to so many unseen blobs (64 bytes each) pick out their texts by broadcast, else by a join.
 BROADCAST_BLOBS = 200_000
@@ -52,6 +54,8 @@ def find(text: str, compiled: list[tuple[int, str, re.Pattern, int, int]]) -> li
     """(start, order of kind, kind, end) of each finding, sorted; code points, end exclusive."""
     out = []
     for order, kind, pattern, group, least in compiled:
+        if NEEDLES.get(kind, "") not in text:
+            continue
         for m in pattern.finditer(text):
             if m.end(group) - m.start(group) >= least:
                 start, end = m.span("hit" if "hit" in pattern.groupindex else 0)
