@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is partitioned by document: a block (an Arrow batch of documents)
-becomes one stored row that holds, for every term of its texts, the sorted
+The index is partitioned by document: a block (some ``BLOCK`` bytes of texts)
+becomes a stored row that holds, for every term of its texts, the sorted
 positions at which it occurs.  It does not depend on the benchmark, so it serves
 any number of searches.  A search sums document frequencies of the benchmark's
 terms over all blocks; then each block's posting lists are intersected, offset
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from corpusloom.llm.words import CHUNK, word_hashes
 WINDOW, SHIFT, NEAR = 10, 36, 2
 #: A search's plan that is broadcast at once, 16 bytes for each benchmark word; a larger benchmark goes in blocks of items.
 PLAN_BYTES = 8 << 20
+#: Text of a stored block.
+BLOCK = 4 << 20
 #: Postings that are expanded at once in a block's intersection.
 EXPAND = 1 << 20
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
@@ -67,10 +70,18 @@ def terms_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return counts, np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut to blocks of some ``BLOCK`` bytes of text, or one row."""
     for b in batches:
-        if not b.num_rows:
-            continue
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(3)), 0).to_numpy())
+        cuts = [0, *(np.flatnonzero(np.diff(size // BLOCK)) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if i < j:
+                yield b.slice(i, j - i)
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _blocks(batches):
         sizes, terms = terms_of(b.column(3).cast(pa.binary()).to_pylist())
         order = np.argsort(terms, kind="stable")
         terms = terms[order]
