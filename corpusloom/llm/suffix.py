@@ -44,11 +44,12 @@ _MASK = (1 << 64) - 1
 _BYTES = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
-def anchors(text: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each anchor: its gram's hash, first window start, number of windows, and its place after that start."""
-    starts = len(text) - width + 1
-    if starts <= 0:
-        return (np.zeros(0, np.int64),) * 4
+#: Windows whose anchors are looked for at once.
+SLAB = 1 << 20
+
+
+def _slab(text: bytes, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window start, place and hash of each run of windows with one anchor."""
     h, done = _BYTES[np.frombuffer(text, np.uint8)], 1
     while done < gram:  # polynomial hashes of doubling length; gram is a power of two
         h = h[:-done] * np.uint64(pow(_M, done, 1 << 64)) + h[done:]
@@ -63,7 +64,22 @@ def anchors(text: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarr
     least = np.minimum(least[: len(least) - (span - done)], least[span - done :])
     place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.diff(place, prepend=-1))
-    return h[place[first]].astype(np.int64), first, np.diff(first, append=starts), place[first] - first
+    return first, place[first], h[place[first]].astype(np.int64)
+
+
+def anchors(text: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each anchor: its gram's hash, first window start, number of windows, and its place after that start."""
+    starts = len(text) - width + 1
+    if starts <= 0:
+        return (np.zeros(0, np.int64),) * 4
+    slabs = []
+    for i in range(0, starts, SLAB):
+        first, place, h = _slab(text[i : min(i + SLAB, starts) + width - 1], width, gram)
+        slabs.append((first + i, place + i, h))
+    first, place, h = (np.concatenate([s[k] for s in slabs]) for k in range(3))
+    fresh = np.diff(place, prepend=-1) != 0  # a run that goes on into the next slab
+    first, place, h = first[fresh], place[fresh], h[fresh]
+    return h, first, np.diff(first, append=starts), place - first
 
 
 def _anchor_rows(width: int, gram: int):
@@ -256,7 +272,8 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group: i
     marks = materialize(marks.join(owners.where(F.col("rows") == 1), ["k1", "k2"]), "dedup-marks")
     discard(contexts, starts)
     cut = materialize(carried(marks, "runs").mapInArrow(_cut(width), "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>"), "dedup-cut")
-    result = owners.select("k1", "k2", (F.col("rows") > 1).alias("copied")).join(cut, ["k1", "k2"], "left")
+    # stored, so that both sides of the last join are plain exchanges and a hot text's partition can be split
+    result = materialize(owners.select("k1", "k2", (F.col("rows") > 1).alias("copied")).join(cut, ["k1", "k2"], "left"), "dedup-result")
     whole = F.col("copied") & (F.col("n_bytes") >= width)
     everything = F.array(F.array(F.lit(0).cast("long"), F.col("n_bytes")))
     return texts.join(result, ["k1", "k2"]).select(

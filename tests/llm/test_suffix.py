@@ -68,3 +68,13 @@ def test_suffix_dedup_edges(spark, docs, no_docs):
     got = rows(suffix.suffix_dedup(docs))
     want = brute([r["text"] for r in data], 200)
     assert sorted((str(g["doc_id"]), g["n_bytes"], g["n_removed"], g["n_spans"], g["kept_sha256"]) for g in got) == sorted((str(r["doc_id"]), *w) for r, w in zip(data, want))
+
+
+def test_anchors_in_slabs(monkeypatch):
+    r = random.Random(5)
+    for text in (bytes(r.choice(b"abcd") for _ in range(3000)), b"a" * 2500, b"abcdefgh" * 300, b"x" * 64, b"x" * 63):
+        whole = [x.tolist() for x in suffix.anchors(text, 64, 32)]
+        for slab in (1, 7, 64, 1000):
+            monkeypatch.setattr(suffix, "SLAB", slab)
+            assert [x.tolist() for x in suffix.anchors(text, 64, 32)] == whole
+        monkeypatch.undo()
