@@ -9,8 +9,14 @@ from corpusloom.llm.common import materialize
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
-    """u, v and m, the least of u and its neighbours; pre-aggregated, so that a hub's rows stay spread until the join."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+    """u, v and m, the least of u and its neighbours.
+
+    The least comes from a pre-aggregation.  It is dealt anew before the join,
+    so that both sides of the join are plain exchanges and a hub's partition
+    can be split.
+    """
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+    least = least.repartition(F.xxhash64("k"))
     return pairs.join(least, pairs.u == least.k).select("u", "v", F.least("u", "m").alias("m"))
 
 
