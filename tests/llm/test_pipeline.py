@@ -9,7 +9,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import corpus_pipeline  # noqa: E402
 from corpusloom.llm import quality  # noqa: E402
-from test_first_ops import brute_components, brute_contamination, brute_print  # noqa: E402
+from test_first_ops import brute_contamination  # noqa: E402
+from test_neardup import brute_groups  # noqa: E402
 
 
 def test_stages(spark, sf, tmp_path):
@@ -24,7 +25,7 @@ def test_stages(spark, sf, tmp_path):
     assert ids(seen[1]) == sorted(r["doc_id"] for r in scored if r["keep"]) and 0 < seen[1].count() < docs.count()
     rows = seen[1].collect()
     least = defaultdict(list)
-    for r, c in zip(rows, brute_components([brute_print(r["text"]) for r in rows])):
+    for r, c in zip(rows, brute_groups([r["text"] for r in rows])):
         least[c].append(r["doc_id"])
     assert ids(seen[2]) == sorted(map(min, least.values()))
     rows = seen[2].collect()
