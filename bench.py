@@ -55,8 +55,8 @@ def main() -> None:
         timed("page_2", lambda: drain(search.page(search.ranked(index, SEARCHES["q_and"]), 1)))
         tokens = tokenize(docs)
         timed("tokenize", lambda: drain(tokens))
-        timed("collocations_t", lambda: drain(collocations.collocations(tokens, "t")))
-        timed("collocations_chi", lambda: drain(collocations.collocations(tokens, "chi")))
+        timed("collocations_t", lambda: drain(collocations.text_collocations(docs, "t")))
+        timed("collocations_chi", lambda: drain(collocations.text_collocations(docs, "chi")))
         try:
             from corpusloom.llm.queries import QUERIES
         except ModuleNotFoundError:

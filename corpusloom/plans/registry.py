@@ -156,7 +156,7 @@ b AS (SELECT w1, w2, count(*) AS n FROM p WHERE w2 IS NOT NULL GROUP BY 1, 2), g
 
 @query(_PAIRS + " SELECT * FROM b")
 def bigram_counts(spark, sf_dir):
-    return coll.bigram_counts(tokenize(_docs(spark, sf_dir)))
+    return coll.text_bigrams(_docs(spark, sf_dir))
 
 
 @query(
@@ -165,7 +165,7 @@ def bigram_counts(spark, sf_dir):
     SELECT w1, w2, n, round((m2 - m1) / sqrt(m2 * (1 - m2) / b), 4) AS score FROM m WHERE (m2 - m1) / sqrt(m2 * (1 - m2) / b) > 3.291 ORDER BY (m2 - m1) / sqrt(m2 * (1 - m2) / b) DESC, w1, w2 LIMIT 150"""
 )
 def collocations_t(spark, sf_dir):
-    return coll.collocations(tokenize(_docs(spark, sf_dir)), "t").withColumn("score", F.round("score", 4))
+    return coll.text_collocations(_docs(spark, sf_dir), "t").withColumn("score", F.round("score", 4))
 
 
 def _chi_sql(sign: str) -> str:
@@ -178,12 +178,12 @@ def _chi_sql(sign: str) -> str:
 
 @query(_chi_sql("+"))
 def collocations_chi(spark, sf_dir):
-    return coll.collocations(tokenize(_docs(spark, sf_dir)), "chi").withColumn("score", F.round("score", 2))
+    return coll.text_collocations(_docs(spark, sf_dir), "chi").withColumn("score", F.round("score", 2))
 
 
 @query(_chi_sql("-"))
 def collocations_chi_corrected(spark, sf_dir):
-    return coll.top(coll.chi_square(tokenize(_docs(spark, sf_dir)), True)).withColumn("score", F.round("score", 2))
+    return coll.text_collocations(_docs(spark, sf_dir), "chi", corrected=True).withColumn("score", F.round("score", 2))
 
 
 @query("SELECT doc_id, text FROM documents WHERE doc_id = 7")

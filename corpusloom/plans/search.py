@@ -83,7 +83,8 @@ def stages(index: Index, terms: list[str], max_results: int = MAX_RESULTS) -> It
             node = stage_query(terms, k)
             found = base.where(c.match(node)).select("doc_id", c.rank(node).alias("rank"))
             if used:
-                found = found.where(~F.col("doc_id").isin(*used))
+                given = index.docs.sparkSession.createDataFrame([(d,) for d in used], "doc_id long")
+                found = found.join(F.broadcast(given), "doc_id", "left_anti")  # at most max_results a stage
             rows = [(r["doc_id"], r["rank"], k) for r in _top(found, max_results).collect()]
             used += [r[0] for r in rows]
             if rows:

@@ -155,3 +155,31 @@ def test_token_files_and_lists(spark, tmp_path):
 def test_suffix_and_file_name(spark):
     r = spark.createDataFrame([("/a/b/c.txt",)], "p string").select(text.file_name(F.col("p")), text.ends_with(F.col("p"), ".txt"), text.ends_with(F.col("p"), "x/a/b/c.txt")).first()
     assert tuple(r) == ("c.txt", True, False)
+
+
+def test_folding_in_the_jvm(spark):
+    """Every character of the first three planes, alone and between letters, as the exact function has it."""
+    from corpusloom.functions import text as fold
+    from corpusloom.ship import ship
+
+    ship(spark)
+    chars = [chr(i) for i in range(1, 0x30000) if not 0xD800 <= i < 0xE000]
+    df = spark.createDataFrame([(c, f"x{c}Y") for c in chars], "a string, b string")
+    assert all((r["fa"], r["fb"]) == (fold.fold(r["a"]), fold.fold(r["b"])) for r in df.select("a", "b", fold.fold_accents(df.a).alias("fa"), fold.fold_accents(df.b).alias("fb")).collect())
+    texts = ["ΟΔΟΣ ΟΔΟΣ'Α ΣΑΣ1 ς", "İstanbul ÉCOLE", "“Привет”, мир — й", "日本語 ﬁne ½", "plain Text 12", "", None]
+    got = {r["doc_id"]: r["t"] for r in fold.token_lists(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    import regex
+
+    for i, t in enumerate(texts):
+        assert got[i] == (None if t is None else [w.lower() for w in regex.findall(r"[\p{L}\p{N}]+", fold.fold(t))])
+
+
+def test_bigrams_without_a_shuffle_of_tokens(spark):
+    from corpusloom.functions.text import tokenize
+    from corpusloom.operators import collocations
+
+    docs = spark.createDataFrame([(1, "a b a b c"), (2, "B a"), (3, "one"), (4, ""), (5, None), (1, "a b")], "doc_id long, text string")
+    pairs = lambda df: sorted(map(tuple, df.collect()))
+    assert pairs(collocations.text_bigrams(docs)) == [("a", "b", 3), ("b", "a", 2), ("b", "c", 1)]
+    one = docs.where("doc_id > 1")
+    assert pairs(collocations.text_bigrams(one)) == pairs(collocations.bigram_counts(tokenize(one)))
