@@ -242,3 +242,20 @@ def test_collocations(spark):
         assert {(r["w1"], r["w2"]): r["score"] for r in collocations.chi_square(df, plus < 0).collect()} == pytest.approx(want)
     assert ("new", "york") in t_want and ("new", "york", 1) in chi_want
     assert collocations.collocations(df, "t", 2).count() <= 2
+
+
+def test_stored_index_with_any_number_of_buckets(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import postings
+
+    docs = spark.createDataFrame([(i, f"w{i % 7} élan日 x w{i % 5}") for i in range(60)], "doc_id long, text string")
+    index = postings.build_index(docs)
+    every = sorted(tuple(r) for r in index.select(["w3", "日", "elan日", "none"]).withColumn("positions", F.array_join("positions", ",")).collect())
+    for n in (None, 5, 130):
+        held = postings.save_index(index, str(tmp_path / str(n)), n)
+        assert held.buckets == (n or postings.BUCKETS) and postings.load_index(spark, str(tmp_path / str(n))).buckets == held.buckets
+        got = held.select(["w3", "日", "elan日", "none"])
+        assert sorted(tuple(r) for r in got.withColumn("positions", F.array_join("positions", ",")).collect()) == every
+    terms = held.postings.select("term", "bucket").distinct().collect()
+    assert terms and all(postings.bucket_of(r["term"], 130) == r["bucket"] for r in terms)
