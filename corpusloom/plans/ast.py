@@ -88,17 +88,6 @@ def terms(node: Node) -> list[str]:
     return list(dict.fromkeys(terms(node.left) + terms(node.right)))
 
 
-def has_quote(node: Node) -> bool:
-    match node:
-        case Quote():
-            return True
-        case Term():
-            return False
-        case Not(c):
-            return has_quote(c)
-    return has_quote(node.left) or has_quote(node.right)
-
-
 def positive(node: Node) -> bool:
     """Whether no document without any of the terms can match."""
     match node:

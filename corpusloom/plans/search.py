@@ -25,7 +25,7 @@ def frequencies(index: Index, terms: list[str]) -> dict[str, int]:
 
 
 def _top(found: DataFrame, n: int) -> DataFrame:
-    return found.distinct().orderBy(F.desc("rank"), F.desc("doc_id")).limit(n)
+    return found.orderBy(F.desc("rank"), F.desc("doc_id")).limit(n)
 
 
 def _numbered(found: DataFrame, stage: int = 0) -> DataFrame:
@@ -75,8 +75,9 @@ def stages(index: Index, terms: list[str], max_results: int = MAX_RESULTS) -> It
         yield [(r["doc_id"], r["rank"], 1) for r in _top(matched(index, ast.Term(terms[0]), {}, 0), max_results).collect()]
         return
     whole = stage_query(terms, len(terms))
-    base = pivot(index, whole, universe=False).persist()
-    c = Compiler(whole, {}, 0)
+    every = tuple(stage_query(terms, k) for k in range(len(terms), 1, -1))
+    base = pivot(index, whole, universe=False, counted=every).persist()
+    c = Compiler(whole, {}, 0, counted=every)
     used: list[int] = []
     try:
         for k in range(len(terms), -1, -1):
