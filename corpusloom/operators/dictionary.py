@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.scratch import keep
+
 
 def dictionary(tokens: DataFrame) -> DataFrame:
     """token, cnt."""
@@ -32,8 +34,12 @@ def term_ids(counts: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
 
 
 def number(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``df`` with its rows' places in the order, from 0, without bringing them to one task."""
-    parts = df.repartitionByRange(*order).withColumn("cl_part", F.spark_partition_id()).persist()
+    """``df`` with its rows' places in the order, from 0, without bringing them to one task.
+
+    The partitioned rows are written to the shared folder: both the places and
+    the partitions' sizes must see the same partitions, whatever executors get lost.
+    """
+    parts = keep(df.repartitionByRange(*order).withColumn("cl_part", F.spark_partition_id()), "numbered")
     local = parts.withColumn("cl_at", F.row_number().over(Window.partitionBy("cl_part").orderBy(*order)))
     sizes = parts.groupBy("cl_part").agg(F.count("*").alias("n"))
     base = sizes.select("cl_part", F.coalesce(F.sum("n").over(Window.orderBy("cl_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("cl_base"))

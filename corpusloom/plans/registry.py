@@ -11,7 +11,7 @@ from corpusloom.functions.weights import idf
 from corpusloom.operators import collocations as coll
 from corpusloom.operators import dictionary as dic
 from corpusloom.operators.postings import Index, build_index
-from corpusloom.plans import ast, parser, search, sql
+from corpusloom.plans import ast, search, sql
 from corpusloom.plans.ast import And, Not, Or, Quote, Term
 from corpusloom.sources import dumps, sinks
 
@@ -51,13 +51,21 @@ def token_stats(spark, sf_dir):
     return sinks.token_statistics(tokenize(_docs(spark, sf_dir)), _docs(spark, sf_dir))
 
 
-@query(r"""SELECT doc_id, 'https://example.org/' || doc_id AS link, 'T' || doc_id AS title, text FROM documents WHERE text <> '' AND NOT contains(text, '</doc>')""")
+def records(docs: DataFrame) -> DataFrame:
+    """Each document as a dump record; none for a null text."""
+    head = F.concat(F.lit('<doc id="'), "doc_id", F.lit('" url="https://example.org/'), "doc_id", F.lit('" title="T'), "doc_id", F.lit('">'))
+    return docs.select(F.concat(head, "text", F.lit("</doc>")).alias("value")).where("value IS NOT NULL")
+
+
+#: A record's text ends before the first end tag behind its first character; without one there is no record.
+EXTRACTED = """SELECT doc_id, 'https://example.org/' || doc_id AS link, 'T' || doc_id AS title, left(t, 1) || split_part(substr(t, 2), '</doc>', 1) AS text
+    FROM (SELECT doc_id, text || '</doc>' AS t FROM documents) WHERE contains(substr(t, 2), '</doc>')"""
+
+
+@query(EXTRACTED)
 def doc_extract(spark, sf_dir):
     """Wrap each document as a dump record and read it back."""
-    d = _docs(spark, sf_dir).where("text <> '' AND NOT contains(text, '</doc>')")
-    record = F.concat(F.lit('<doc id="'), "doc_id", F.lit('" url="https://example.org/'), "doc_id", F.lit('" title="T'), "doc_id", F.lit('">'), "text", F.lit("</doc>\n"))
-    files = d.select(F.lit("dump").alias("path"), record.alias("value"))
-    return dumps.split_documents(files).select("doc_id", "link", "title", "text")
+    return dumps.split_documents(records(_docs(spark, sf_dir)).withColumn("path", F.lit("dump"))).select("doc_id", "link", "title", "text")
 
 
 @query(f"WITH {sql.TOKENS} SELECT token, count(*) AS cnt FROM tok GROUP BY token")
@@ -122,16 +130,31 @@ for _name, _node in SEARCHES.items():
     QUERIES[_name] = lambda spark, sf_dir, node=_node: _shown(search.ranked(_index(spark, sf_dir), node))
     ORACLE[_name] = sql.Sql(ast.simplify(_node)).ranked(search.MAX_RESULTS)
 
-#: Query texts, boolean and free, with the tree that they stand for.
+#: Query texts; their SQL comes from the trees that they stand for, written out.
 TEXTS: dict[str, str] = {"rank_boolean_top500": "(the | de) & !\"of the\" /3", "q_implicit_and": "the of !en"}
+TREES: dict[str, ast.Node] = {
+    "rank_boolean_top500": And(Or(Term("the"), Term("de")), Not(Quote(("of", "the"), 3))),
+    "q_implicit_and": And(Term("the"), And(Term("of"), Not(Term("en")))),
+}
 for _name, _text in TEXTS.items():
     QUERIES[_name] = lambda spark, sf_dir, text=_text: _shown(search.search(_index(spark, sf_dir), text))
-    ORACLE[_name] = sql.Sql(ast.simplify(parser.parse(_text).tree)).ranked(search.MAX_RESULTS)
+    ORACLE[_name] = sql.Sql(TREES[_name]).ranked(search.MAX_RESULTS)
 
 CASCADES: dict[str, str] = {"cascade_single": "the", "cascade_2": "of the", "cascade_3": "and of the"}
+#: Stage -> tree, the strictest first.
+STAGES: dict[str, dict[int, ast.Node]] = {
+    "cascade_single": {1: Term("the")},
+    "cascade_2": {2: Quote(("of", "the")), 1: And(Term("of"), Term("the")), 0: Or(Term("of"), Term("the"))},
+    "cascade_3": {
+        3: Quote(("and", "of", "the")),
+        2: And(Quote(("and", "of")), Quote(("of", "the"))),
+        1: And(And(Term("and"), Term("of")), Term("the")),
+        0: Or(Or(Term("and"), Term("of")), Term("the")),
+    },
+}
 for _name, _text in CASCADES.items():
     QUERIES[_name] = lambda spark, sf_dir, text=_text: _shown(search.search(_index(spark, sf_dir), text))
-    ORACLE[_name] = sql.cascade(_text.split(), search.MAX_RESULTS, search.stage_query)
+    ORACLE[_name] = sql.cascade(STAGES[_name], search.MAX_RESULTS)
 
 
 @query(sql.Sql(Or(Term("the"), Term("de"))).matches())
@@ -196,11 +219,11 @@ def path_listing(spark, sf_dir):
     return dumps.list_paths(spark, sf_dir).where("file = 'documents.parquet'").select("file")
 
 
-@query()
+@query(sql.snippets(f"SELECT rank_pos, doc_id, text FROM ({sql.cascade(STAGES['cascade_3'], search.MAX_RESULTS)}) JOIN documents USING (doc_id) WHERE rank_pos <= {search.PAGE}", ["and", "of", "the"]))
 def search_view(spark, sf_dir):
     """A page of results with snippets."""
     docs = _docs(spark, sf_dir)
-    return search.results_view(build_index(docs), docs, "of the and")
+    return search.results_view(build_index(docs), docs, "and of the")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

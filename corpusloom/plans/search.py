@@ -121,6 +121,13 @@ def bind(node: ast.Node, known: set[str], lemmas: dict[str, str] | None) -> ast.
     return type(node)(a, b) if a and b else None
 
 
+def lemmas_of(lemmas: DataFrame, text: str) -> dict[str, str]:
+    """The lemmas of a query's own words out of a table (token, lemma); the table itself stays where it is."""
+    query = parse(text)
+    words = {normalize_word(w) for w in (ast.terms(query.tree) if query.boolean else query.terms)}
+    return {r["token"]: r["lemma"] for r in lemmas.where(F.col("token").isin(*words)).select("token", "lemma").collect()}
+
+
 def search(index: Index, text: str, lemmas: dict[str, str] | None = None, max_results: int = MAX_RESULTS, enough: int | None = None) -> DataFrame:
     """Results of a query text.
 

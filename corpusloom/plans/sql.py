@@ -88,16 +88,37 @@ SELECT * FROM n WHERE rank_pos BETWEEN {low} AND {high}"""
         return f"WITH {self.base()} SELECT doc_id FROM base WHERE {self.match(self.node)}"
 
 
-def cascade(terms: list[str], most: int, query) -> str:
-    """Stage after stage; ``query`` gives a stage's tree."""
-    whole = Sql(query(terms, len(terms)))
-    if len(terms) == 1:
-        return Sql(ast.Term(terms[0])).ranked(most).replace("0 AS stage", "1 AS stage")
+def cascade(stages: dict[int, ast.Node], most: int) -> str:
+    """Stage after stage, by number and tree."""
+    first, *_ = stages.values()
+    if len(stages) == 1:
+        return Sql(first).ranked(most).replace("0 AS stage", "1 AS stage")
+    whole = Sql(first)
     parts, done = [], []
-    for k in range(len(terms), -1, -1):
-        node = query(terms, k)
+    for k, node in stages.items():
         out = "".join(f" AND doc_id NOT IN (SELECT doc_id FROM s{i})" for i in done)
         parts.append(f"s{k} AS (SELECT doc_id, {whole.rank(node)} AS rank, {k} AS stage FROM base WHERE ({whole.match(node)}){out} ORDER BY rank DESC, doc_id DESC LIMIT {most})")
         done.append(k)
     every = " UNION ALL ".join(f"SELECT * FROM s{k}" for k in done)
     return f"WITH {whole.base()},\n" + ",\n".join(parts) + f"\nSELECT (row_number() OVER (ORDER BY stage DESC, rank DESC, doc_id DESC))::INT AS rank_pos, doc_id, round(rank::DOUBLE, 4) AS rank, stage FROM ({every})"
+
+
+def snippets(found: str, words: list[str]) -> str:
+    """rank_pos, doc_id, snippet of the documents in ``found`` (rank_pos, doc_id, text): every context up to what can matter, then the last that fits."""
+    wanted = ", ".join(map(_lit, words))
+    running = [f"max(i) FILTER (w = {_lit(w)}) OVER (PARTITION BY doc_id ORDER BY i)" for w in words]
+    return rf"""WITH found AS ({found}),
+g AS (SELECT rank_pos, doc_id, length(coalesce(text, '')) AS chars, regexp_extract_all(replace(coalesce(text, ''), chr(10), ' '), '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]') AS g FROM found),
+s AS (SELECT doc_id, i, lower(strip_accents(x)) AS w FROM (SELECT doc_id, unnest(range(len(g))) AS i, unnest(g) AS x FROM g)),
+near AS (SELECT doc_id, list(last ORDER BY i) AS last FROM (SELECT doc_id, i, max(CASE WHEN w IN ({wanted}) THEN i END) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM s) GROUP BY doc_id),
+h AS (SELECT *, (SELECT count(DISTINCT w) FROM s x WHERE x.doc_id = s.doc_id AND w IN ({wanted})) AS every FROM s WHERE w IN ({wanted})),
+e AS (SELECT doc_id, i, every, [{', '.join(running)}] AS l FROM h),
+win AS (SELECT doc_id, arg_min(list_min(l), (i - list_min(l)) * 1000000000 + i) AS l, arg_min(i, (i - list_min(l)) * 1000000000 + i) AS r FROM e WHERE len(list_filter(l, lambda x: x IS NOT NULL)) = every GROUP BY doc_id),
+ar AS (SELECT *, greatest(l - ar, 0) AS a, least(r + ar + 1, len(g)) AS z FROM (SELECT *, unnest(range(1, 312, 5)) AS ar FROM g JOIN near USING (doc_id) JOIN win USING (doc_id))),
+c AS (SELECT doc_id, chars, ar, a = 0 AND z = len(g) AS whole, (CASE WHEN l - ar > 0 THEN '...' ELSE '' END) || array_to_string(g[a + 1:z], '') || (CASE WHEN r + ar + 1 < len(g) THEN '...' ELSE '' END) AS uncut,
+  (CASE WHEN l - ar > 0 THEN '...' ELSE '' END) || array_to_string(list_transform(range(a, z), lambda i: CASE
+    WHEN last[i + 1] = i OR i - greatest(coalesce(last[i + 1], -1), a - 1) < ar THEN g[i + 1]
+    WHEN i - greatest(coalesce(last[i + 1], -1), a - 1) = ar THEN g[i + 1] || '...' ELSE '' END), '') AS cut FROM ar),
+stop AS (SELECT doc_id, min(ar) AS stop FROM c WHERE length(cut) >= least(300, chars) OR whole GROUP BY doc_id),
+best AS (SELECT doc_id, arg_max(CASE WHEN length(uncut) <= 300 THEN uncut ELSE cut END, ar) AS best FROM c JOIN stop USING (doc_id) WHERE ar <= stop AND (length(uncut) <= 300 OR length(cut) <= 300) GROUP BY doc_id)
+SELECT rank_pos, doc_id, coalesce(nullif(best, ''), array_to_string(list_append(g[1:50], '...'), ' ')) AS snippet FROM g LEFT JOIN best USING (doc_id)"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators import dictionary
 from corpusloom.schemas import META
 
 #: Fixed form of a dump record: id, url and title in this order, none of them empty.
@@ -38,16 +39,29 @@ def read_meta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_numbered(spark: SparkSession, path: str, name: str, number: str) -> DataFrame:
-    """Lines of a text file with their numbers from 0: one-file lists only, read as a whole."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias(number, name))
-    return lines.select(F.col(number).cast("long").alias(number), name)
+    """Lines of a list with their numbers from 0; the part files of a folder follow each other by name.
+
+    A list may be as large as a vocabulary: blocks of files are read side by
+    side, and a line's place within its block decides among the block's lines.
+    """
+    lines = spark.read.text(path).select(
+        F.col("value").alias(name), F.col("_metadata.file_path").alias("cl_file"),
+        F.col("_metadata.file_block_start").alias("cl_block"), F.monotonically_increasing_id().alias("cl_line"),
+    )
+    return dictionary.number(lines, ["cl_file", "cl_block", "cl_line"], number).select(number, name)
 
 
 def zip_lemmas(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
-    """token, lemma of two line-numbered lists (``read_numbered``); lines that one list lacks are left out."""
+    """token, lemma of two line-numbered lists (``read_numbered``); lines that one list lacks are left out (``unpaired``)."""
     return tokens.join(lemmas, "line").select("token", "lemma")
 
 
+def unpaired(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """line, token, lemma of the lines that one of the two lists lacks: no row if the lists fit each other."""
+    both = tokens.withColumn("cl_a", F.lit(True)).join(lemmas.withColumn("cl_b", F.lit(True)), "line", "full")
+    return both.where("cl_a IS NULL OR cl_b IS NULL").select("line", "token", "lemma")
+
+
 def list_paths(spark: SparkSession, *paths: str) -> DataFrame:
     """file, dir of every file directly in ``paths``."""
     found = spark.read.format("binaryFile").load(list(paths)).select(F.regexp_replace("path", r"^file:/+", "/").alias("p"))

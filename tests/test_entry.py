@@ -16,7 +16,7 @@ def test_keys():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["q_and", "q_nested", "q_proximity", "cascade_3", "collocations_t", "postings"])
+@pytest.mark.parametrize("name", ["q_and", "q_nested", "q_proximity", "cascade_3", "collocations_t", "postings", "search_view", "snippets", "dump_walk", "meta_sink", "lemma_lists", "lemma_postings_known", "lemma_boolean", "stored_not", "postfix_search", "service_page", "parsed_queries"])
 def test_against_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     db = duckdb.connect()

@@ -12,7 +12,8 @@ from corpusloom.operators import collocations
 from corpusloom.operators.postings import build_index
 from corpusloom.plans import ast, search
 from corpusloom.plans.ast import And, Not, Or, QueryError, Quote, Term
-from corpusloom.plans.parser import parse, postfix
+from corpusloom.plans import compile as plan
+from corpusloom.plans.parser import parse, postfix, postfix_of, report
 
 T = Term
 F32 = np.float32
@@ -55,6 +56,44 @@ def test_parser_counts_and_postfix():
             postfix(bad)
 
 
+@pytest.mark.parametrize("text", ["a b|c", '"x y" /5 z', "!(a|b)c", "a & b & !!c"])
+def test_postfix_of(text):
+    tree = parse(text).tree
+    assert report(text)[2] == " ".join(postfix_of(tree))
+
+    def swapped(n):  # the reader takes the operand on top first
+        match n:
+            case And(a, b) | Or(a, b):
+                return type(n)(swapped(b), swapped(a))
+            case Not(c):
+                return Not(swapped(c))
+        return n
+
+    assert postfix(postfix_of(tree)) == swapped(tree)
+
+
+@pytest.mark.parametrize("names", [("a", "b"), ("a", "b", "a"), ("a", "a"), ("c", "a", "b", "c")])
+def test_chains_by_merging(spark, names):
+    r, rows = random.Random(3), []
+    for i in range(150):
+        t = [r.choice("abcd") for _ in range(r.randrange(0, 25))]
+        rows.append((i, *([j for j, x in enumerate(t) if x == n] for n in names)))
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"p{k} array<int>" for k in range(len(names))))
+    places = [df[f"p{k}"] for k in range(len(names))]
+    dists = (len(names), len(names) + 1, len(names) + 4)
+    got = df.select("id", plan.adjacent(places).alias("next"), *(plan.chains(d, places).alias(f"d{d}") for d in dists)).orderBy("id").collect()
+    for (_, *lists), g in zip(rows, got):
+        ends = []
+        for start in lists[0]:
+            at = start
+            for p in lists[1:]:
+                at = min((x for x in p if at is not None and x > at), default=None)
+            ends += [at - start + 1] if at is not None else []
+        for d in dists:
+            assert g[f"d{d}"] == sum(e <= d for e in ends)
+        assert g["next"] == g[f"d{len(names)}"]
+
+
 class Brute:
     def __init__(self, texts, scoring="tf"):
         self.docs = {i: t.split() for i, t in texts.items()}

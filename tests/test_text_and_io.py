@@ -150,6 +150,24 @@ def test_token_files_and_lists(spark, tmp_path):
     assert {(r["token"], r["lemma"]) for r in dumps.zip_lemmas(a, b).collect()} == {("x", "X"), ("y", "Y")}
     sinks.write_lines(a, "token", ["line"], str(tmp_path / "o"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "o")).collect()] == ["x", "y", "z"]
+    assert [tuple(r) for r in dumps.unpaired(a, b).collect()] == [(2, "z", None)]
+    assert dumps.unpaired(a, a.withColumnRenamed("token", "lemma")).count() == 0
+    flat = dumps.read_token_files(spark, str(tmp_path / "t" / "0"), recursive=False)
+    assert sorted(r["token"] for r in flat.collect()) == ["a", "b", "c"]
+    (tmp_path / "t" / "7").write_text("d")
+    assert [tuple(r) for r in dumps.read_token_files(spark, str(tmp_path / "t"), recursive=False).collect()] == [(7, 0, "d")]
+
+
+def test_lists_of_many_files(spark, tmp_path):
+    lines = [f"w{i:05d}" if i % 50 else "" for i in range(3000)]
+    for k in range(6):
+        (tmp_path / f"part-{k:05d}").write_text("".join(f"{x}\n" for x in lines[k * 500 : k * 500 + 500]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # a file falls into several blocks
+    try:
+        got = {r["line"]: r["word"] for r in dumps.read_numbered(spark, str(tmp_path), "word", "line").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == dict(enumerate(lines))
 
 
 def test_suffix_and_file_name(spark):
