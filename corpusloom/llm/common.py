@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.ship import ship
 
-#: Upper bound on rows of one Arrow batch; texts can be long, so batches stay short.
-ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
+#: Upper bound on rows and bytes of one Arrow batch; texts can be long, so batches stay short.
+#: Each batch is held several times outside the heap, in the JVM and in the worker.
+ARROW_ROWS, ARROW_BYTES = 2000, 4 << 20
+#: Parquet options for rows of some MB each, which else share one page and row group up to a hundred.
+LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(8 << 20)}
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -45,14 +48,14 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet (with the writer's ``options``) into the shared folder and read it back.
 
     This cuts the lineage with a replica that survives lost executors.  The
     files go when the driver ends.
     """
     spark, path = df.sparkSession, folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cl_path = path
     return out

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_batches, discard, distinct, free_prefix, materialize
+from corpusloom.llm.common import LARGE_ROWS, arrow_batches, discard, distinct, free_prefix, materialize
 from corpusloom.llm.words import CHUNK, word_hashes
 
 WINDOW, SHIFT, NEAR = 10, 36, 2
@@ -30,6 +30,8 @@ WINDOW, SHIFT, NEAR = 10, 36, 2
 PLAN_BYTES = 8 << 20
 #: Text of a stored block.
 BLOCK = 4 << 20
+#: Up to so many contaminated documents are broadcast by key.
+WANTED = 200_000
 #: Postings that are expanded at once in a block's intersection.
 EXPAND = 1 << 20
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
@@ -95,7 +97,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """Positional postings of all terms of ``docs`` (doc_id, text), stored in the shared folder; ``discard`` it after the last search."""
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("rid"), F.xxhash64("text").alias("text_key"), "text")
-    return materialize(rows.mapInArrow(_index, INDEX), "postings")
+    return materialize(rows.mapInArrow(_index, INDEX), "postings", LARGE_ROWS)
 
 
 class Plan:
@@ -290,4 +292,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, slop: int = 0, plan_bytes: int
     hit = search(index, benchmark, slop, plan_bytes).where(F.size("items") > 0)
     hit = materialize(hit.select(F.col("doc_id").alias(f"{p}hit"), F.col("text_key").alias(f"{p}text")).distinct(), "contaminated")
     discard(index)
+    # the narrow side is hashed, so the texts need no sort
+    hit = F.broadcast(hit) if hit.count() <= WANTED else hit.hint("shuffle_hash")
     return docs.join(hit, docs.doc_id.cast("long").eqNullSafe(hit[f"{p}hit"]) & (F.xxhash64(docs.text) == hit[f"{p}text"]), "left_anti")

@@ -12,8 +12,8 @@ import numpy as np
 
 M = 0x9E3779B97F4A7C15
 _MIX, _FINAL = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)
-#: Bytes looked at together.
-CHUNK = 1 << 21
+#: Bytes looked at together; a task holds some 100 bytes for each.
+CHUNK = 1 << 20
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
