@@ -1,14 +1,19 @@
 """Near-duplicates by exact Jaccard similarity of word shingles.
 
 Documents are sets of hashed shingles of ``SHINGLE`` words, and are linked if
-the Jaccard similarity of their sets is 0.8 or more.  The join is a prefix
-filter: with all shingles in one global order, two linked sets share a shingle
+the Jaccard similarity of their sets is 0.8 or more.  First they meet by the
+SimHash of their sets: in the grids of the segment popcounts that leave out
+``LEFT_OUT`` bands, with a Manhattan and then a Hamming distance of ``RADIUS`` or
+less, and the pairs are verified on the whole sets.  At similarity 0.8
+fingerprints differ in about ten bits, which no such grid finds for certain; so
+the pairs that these links do not yet join meet once more, by an exact join.
+
+The exact join is a prefix filter: with all shingles in one global order, two linked sets share a shingle
 among the first n - ceil(0.8 n) + 1 of either, n being the set's size.  So
 documents meet by these prefixes.  Of the pairs that meet, those go whose
 bitmaps (a bit is the parity of the shingles that hash to it) differ in more
 bits than the sets may differ in shingles, and the others are verified on the
-whole sets; no linked pair is lost.  A 64-bit SimHash cannot do this: at
-similarity 0.8 fingerprints differ in about ten bits.
+whole sets; no linked pair is lost.
 
 Any global order is exact; rare shingles first keeps the meetings few.  The
 order is by counters that shingles of all texts fall into by their hash, a
@@ -29,16 +34,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import simhash
 from corpusloom.llm.common import arrow_batches, discard, distinct, free_prefix, materialize
 from corpusloom.llm.components import components
 
 SHINGLE, CELL, HUBS, BITS = 5, 16, 2, 1024
+#: The grids leave out so many of eight bands; their pairs are verified up to so many differing bits.
+LEFT_OUT, RADIUS = 3, 12
 #: Counters of the order; 4 bytes each are broadcast.
 COUNTERS = 1 << 18
 #: Up to so many documents whose texts are read again are broadcast by key.
 WANTED = 500_000
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
-ROWS = "doc_id long, text_key long, node long, n long, prefix array<long>, bits array<long>"
+ROWS = "doc_id long, text_key long, node long, n long, fp long, prefix array<long>, bits array<long>"
 
 
 def shingles(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
@@ -74,7 +82,7 @@ def _counters(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def grams(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """``ROWS`` of each row of ``docs``: node is a hash of the set of n shingles, prefix its first ones, bits its bitmap."""
+    """``ROWS`` of each row of ``docs``: node is a hash of the set of n shingles, fp its SimHash, prefix its first ones, bits its bitmap."""
     spark = docs.sparkSession
     arrow_batches(spark)
     held = spark.sparkContext.broadcast(_counters(docs, k))
@@ -82,18 +90,19 @@ def grams(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = held.value
         for b in batches:
-            nodes, sizes, prefixes, maps = [], [], [], []
+            nodes, sizes, prints, prefixes, maps = [], [], [], [], []
             for t in b.column(2).cast(pa.binary()).to_pylist():
                 s = shingles(t, k)
                 n, rank = len(s), counts[s & len(counts) - 1]
                 nodes.append(int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True))
                 sizes.append(n)
+                prints.append(simhash.majority(s))
                 prefixes.append(s[np.argsort(rank, kind="stable")[: n - (4 * n + 4) // 5 + 1]])
                 maps.append(np.packbits(np.bincount(s & BITS - 1, minlength=BITS) & 1).view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, longs), pa.array(maps, longs)],
-                names=["doc_id", "text_key", "node", "n", "prefix", "bits"],
+                [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(prefixes, longs), pa.array(maps, longs)],
+                names=["doc_id", "text_key", "node", "n", "fp", "prefix", "bits"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(run, ROWS)
@@ -124,10 +133,6 @@ def _sets(docs: DataFrame, nodes: DataFrame, prints: DataFrame, k: int) -> DataF
 
 def links(docs: DataFrame, rows: DataFrame, prints: DataFrame, k: int = SHINGLE) -> DataFrame:
     """u, v: links whose components are those of all pairs of nodes in ``rows`` with similarity 0.8 or more."""
-    posts = rows.select("node", "n", F.posexplode("prefix").alias("pos", "s"))
-    met = materialize(posts.groupBy("s").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("s"), "neardup-met")
-    members = materialize(posts.join(met, "s").select("s", "node", "n", "pos").distinct(), "neardup-members")
-    discard(met)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         close = materialize(pairs.distinct(), f"neardup-{name}")
@@ -145,7 +150,18 @@ def links(docs: DataFrame, rows: DataFrame, prints: DataFrame, k: int = SHINGLE)
         """The bitmaps leave similarity 0.8 possible."""
         return 9 * sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(1, BITS // 64)), F.bit_count(F.get(x, F.lit(0)).bitwiseXOR(F.get(y, F.lit(0))))) <= n + m
 
-    state, found = members.withColumn("label", F.col("node")), None
+    def labelled() -> DataFrame:
+        roots = components(found, "neardup-components").withColumnRenamed("node", "of")
+        return members.join(roots, members.node == roots["of"], "left").select("s", "node", "n", "pos", F.coalesce("root", "node").alias("label"))
+
+    near = simhash.candidates(prints, LEFT_OUT, RADIUS)
+    found = verified(near.where(5 * F.least("n", "m") >= 4 * F.greatest("n", "m")).select("u", "v", (F.col("n") + F.col("m")).alias("total")), "simhash")
+    discard(near)
+    posts = rows.select("node", "n", F.posexplode("prefix").alias("pos", "s"))
+    met = materialize(posts.groupBy("s").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("s"), "neardup-met")
+    members = materialize(posts.join(met, "s").select("s", "node", "n", "pos").distinct(), "neardup-members")
+    discard(met)
+    state = labelled()
     crowded = materialize(members.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > CELL).select("s"), "neardup-crowded")
     for i in range(0 if crowded.isEmpty() else HUBS):
         hot = materialize(mapped(state.join(crowded, "s")), "neardup-hot")
@@ -153,9 +169,8 @@ def links(docs: DataFrame, rows: DataFrame, prints: DataFrame, k: int = SHINGLE)
         pairs = hot.join(hot.groupBy("s").agg(hub), "s").where(F.col("label") != F.col("h.label"))
         pairs = pairs.where(_may(F.col("n"), F.col("pos"), F.col("h.n"), F.col("h.pos")) & alike(F.col("n"), F.col("bits"), F.col("h.n"), F.col("h.bits")))
         more = verified(pairs.select(F.col("node").alias("u"), F.col("h.node").alias("v"), (F.col("n") + F.col("h.n")).alias("total")), f"hub{i}")
-        found = more if found is None else found.unionByName(more)
-        roots = components(found, "neardup-components").withColumnRenamed("node", "of")
-        state = members.join(roots, members.node == roots["of"], "left").select("s", "node", "n", "pos", F.coalesce("root", "node").alias("label"))
+        found = found.unionByName(more)
+        state = labelled()
         discard(hot)
     # what is left: pairs of a shingle that are not yet joined; only shingles with two labels matter
     state = materialize(state, "neardup-labels")
@@ -168,7 +183,7 @@ def links(docs: DataFrame, rows: DataFrame, prints: DataFrame, k: int = SHINGLE)
     pairs = pairs.where(alike(F.col("n"), F.col("bits"), F.col("n2"), F.col("bits2")))
     last = verified(pairs.select(F.col("node").alias("u"), F.col("node2").alias("v"), (F.col("n") + F.col("n2")).alias("total")), "open")
     discard(still)
-    return last if found is None else found.unionByName(last)
+    return found.unionByName(last)
 
 
 def dedup(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -183,7 +198,7 @@ def dedup(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """
     rows = materialize(grams(docs, k), "neardup-rows")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("least")
-    prints = materialize(rows.groupBy("node").agg(least, F.first("bits").alias("bits")), "neardup-distinct")
+    prints = materialize(rows.groupBy("node").agg(least, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits")), "neardup-distinct")
     roots = components(links(docs, rows, prints, k), "neardup-components").withColumnRenamed("node", "of")
     kept = prints.join(roots, prints.node == roots["of"], "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("least").alias("k"))
     p = free_prefix(docs.columns)

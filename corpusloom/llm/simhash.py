@@ -26,11 +26,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_batches, materialize
+from corpusloom.llm import neardup
+from corpusloom.llm.common import arrow_batches, discard, materialize
 from corpusloom.llm.components import components
-from corpusloom.llm.neardup import dedup  # noqa: F401  (the pipeline's own stage, exact)
 
 SHINGLE, MAX_BITS, CELL, CHUNK = 3, 2, 16, 1 << 15
+#: Up to so many shared cells are broadcast.
+WANTED = 200_000
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _PAIRS = 0x5555555555555555
 
@@ -113,6 +115,44 @@ def links(prints: DataFrame, cell: int = CELL) -> DataFrame:
     return found.unionByName(through).distinct()
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Fingerprint of 64-bit hashes: a bit is 1 if set in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def candidates(prints: DataFrame, left_out: int, radius: int, cell: int = CELL) -> DataFrame:
+    """u, v, n, m: pairs of ``prints`` (node, distinct; fp; n, any number) that meet in a grid, at ``radius`` or fewer bits.
+
+    The grids leave out ``left_out`` of the eight bands, so they miss no pair
+    within that many bits and find others up to ``radius`` whose bits lie in so
+    many bands.  In a cell of more than ``cell`` nodes each meets the least only.
+    The result is stored; ``discard`` it.
+    """
+    masks = [_signed(~sum(0xFF << 8 * b for b in out) & (1 << 64) - 1) for out in combinations(range(8), left_out)]
+    e = embedding(F.col("fp"))
+    cells = prints.select("node", F.explode(F.array(*[F.xxhash64(F.lit(i), e.bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("at"))
+    shared = materialize(cells.groupBy("at").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1"), "simhash-shared")
+    members = materialize(cells.join(F.broadcast(shared) if shared.count() <= WANTED else shared, "at"), "simhash-meeting")
+    lists = members.where(F.col("c") <= cell).groupBy("at").agg(F.collect_list("node").alias("l"))
+    paired = lists.select(F.explode("l").alias("u"), "l").select("u", F.explode(F.filter("l", lambda y: y > F.col("u"))).alias("v"))
+    through = members.where((F.col("c") > cell) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    pairs = materialize(paired.unionByName(through).distinct(), "simhash-pairs")
+    side = lambda *names: prints.select(*(F.col(c).alias(x) for c, x in zip(("node", "fp", "n"), names, strict=True)))
+    x, y = F.col("x"), F.col("y")
+    near = (manhattan(embedding(x), embedding(y)) <= radius) & (hamming(x, y) <= radius)
+    out = materialize(pairs.join(side("u", "x", "n"), "u").join(side("v", "y", "m"), "v").where(near).select("u", "v", "n", "m"), "simhash-candidates")
+    discard(shared, members, pairs)
+    return out
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """The pipeline's stage: ``neardup.dedup``, five-word shingles and exact similarity."""
+    return neardup.dedup(docs)
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, cell: int = CELL) -> DataFrame:
     """Component of every row of ``docs``: doc_id, fp, component_id.
 
